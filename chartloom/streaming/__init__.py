@@ -1,0 +1,5 @@
+"""Intentionally empty: every input of the workload is a bounded table.
+
+Chunked file iteration maps to ordinary partitioned scans, and nothing in the workload has
+event-time or state semantics, so no streaming operator is provided.
+"""
