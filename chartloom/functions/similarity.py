@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F
@@ -50,16 +49,3 @@ def required_overlap(kind: str, threshold: float, size: Column) -> Column:
 
 def prefix_length(kind: str, threshold: float, size: Column) -> Column:
     return size - required_overlap(kind, threshold, size) + 1
-
-
-def sizes_compatible(kind: str, threshold: float, a: Column, b: Column) -> Column:
-    """Whether two sizes can reach the threshold at all: common elements <= min(a, b)."""
-    share = required_share(kind, threshold)
-    if share == 0.0:
-        return F.lit(True)
-    return (b >= a * share - _SLACK) & (a >= b * share - _SLACK)
-
-
-def smallest_partner(kind: str, threshold: float, size: float) -> int:
-    """Size below which no set can match one of ``size`` elements."""
-    return max(1, math.ceil(size * required_share(kind, threshold) - _SLACK))

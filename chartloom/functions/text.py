@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, functions as F
 
@@ -43,10 +43,8 @@ def drop_periods(c: Column) -> Column:
 
 def word_tokens(normalized: Column) -> Column:
     """Words of a normalized text; a run of periods ending a word is a token of its own."""
-    text = normalized
-    for pair in SPLIT_WORDS:
-        head, tail = pair.split()
-        text = F.regexp_replace(text, rf"\b({head})({tail})\b", "$1 $2")
+    heads = "|".join(rf"{head}(?={tail}\b)" for head, tail in (w.split() for w in SPLIT_WORDS))
+    text = F.regexp_replace(normalized, rf"\b({heads})", "$1 ")
     text = F.regexp_replace(text, WORD_FINAL_PERIODS, " $1 $2")
     return F.filter(F.split(text, " "), lambda w: w != "")
 
@@ -92,21 +90,39 @@ def spaced_string(items: Column) -> Column:
     return F.when(F.size(items) > 0, F.concat(F.array_join(items, " "), F.lit(" "))).otherwise("")
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once per row and use it in ``body``, lambdas included.
+
+    A plain reference inside a lambda would be evaluated again for every element.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def term_counts(tokens: Column) -> Column:
     """``array<struct<term, tf>>`` of one token array, without leaving the row.
 
     Sorting brings equal tokens together, so a run's length is its count: linear after the
     sort, no shuffle and no per-note key needed.
     """
-    ordered = F.sort_array(tokens)
-    starts = F.filter(
-        F.sequence(F.lit(0), F.size(ordered) - 1),
-        lambda i: (i == 0) | (F.get(ordered, i) != F.get(ordered, i - 1)),
-    )
-    return F.when(F.size(ordered) > 0, F.transform(
-        starts,
-        lambda start, k: F.struct(
-            F.get(ordered, start).alias("term"),
-            (F.coalesce(F.get(starts, k + 1), F.size(ordered)) - start).cast("bigint").alias("tf"),
+
+    def run_starts(ordered: Column) -> Column:
+        return F.filter(
+            F.sequence(F.lit(0), F.size(ordered) - 1),
+            lambda i: (i == 0) | (F.get(ordered, i) != F.get(ordered, i - 1)),
+        )
+
+    def runs(ordered: Column, starts: Column) -> Column:
+        return F.transform(
+            starts,
+            lambda start, k: F.struct(
+                F.get(ordered, start).alias("term"),
+                (F.coalesce(F.get(starts, k + 1), F.size(ordered)) - start).cast("bigint").alias("tf"),
+            ),
+        )
+
+    return bind(
+        F.sort_array(tokens),
+        lambda ordered: F.when(
+            F.size(ordered) > 0, bind(run_starts(ordered), lambda starts: runs(ordered, starts))
         ),
-    ))
+    )
