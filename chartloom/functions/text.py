@@ -57,7 +57,7 @@ def space_tokens(c: Column) -> Column:
 def sentences(normalized: Column) -> Column:
     """Sentences of a normalized text: a period followed by a blank ends one."""
     parts = F.split(F.replace(normalized, F.lit(". "), F.lit(".\n")), "\n")
-    return F.filter(F.transform(parts, F.trim), lambda s: s != "")
+    return F.filter(F.transform(parts, lambda s: F.trim(s)), lambda s: s != "")
 
 
 def remove_stop_words(tokens: Column, stop_words: Sequence[str] = STOP_WORDS) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from chartloom.operators.ranking import hash_rank
 from chartloom.operators.skew import skewed_join
@@ -119,15 +119,13 @@ def patient_labels(notes: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def corpus_summary(notes: DataFrame, labels: DataFrame) -> DataFrame:
-    """Row, admission and patient counts of notes and labels, one row per table."""
-    of_notes = notes.agg(
-        F.count("*").alias("n_rows"),
-        F.countDistinct("hadm_id").alias("n_admissions"),
-        F.countDistinct("subject_id").alias("n_patients"),
-    )
-    of_labels = labels.agg(
-        F.count("*").alias("n_rows"),
-        F.lit(None).cast("bigint").alias("n_admissions"),
-        F.countDistinct("subject_id").alias("n_patients"),
-    )
-    return of_notes.withColumn("source", F.lit("notes")).unionByName(of_labels.withColumn("source", F.lit("labels")))
+    """``(source, measure, value)``: rows, admissions and patients of notes, rows and patients of labels."""
+
+    def counts(df: DataFrame, source: str, **measures: Column) -> DataFrame:
+        pairs = [F.struct(F.lit(m).alias("measure"), F.col(m).alias("value")) for m in measures]
+        row = df.agg(*(c.alias(m) for m, c in measures.items()))
+        return row.select(F.lit(source).alias("source"), F.inline(F.array(*pairs)))
+
+    n_rows, n_patients = F.count("*"), F.countDistinct("subject_id")
+    of_notes = counts(notes, "notes", rows=n_rows, admissions=F.countDistinct("hadm_id"), patients=n_patients)
+    return of_notes.unionByName(counts(labels, "labels", rows=n_rows, patients=n_patients))
