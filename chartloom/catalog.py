@@ -127,7 +127,8 @@ def distinct_patients(spark, sf):
 @query
 def notes_left_labels(spark, sf):
     notes = fx.turns(spark, sf).select(*KEY)
-    return splits.attach_labels(notes, fx.derived_labels(spark, sf), KEY)
+    # a double keeps unlabelled notes comparable across engines
+    return splits.attach_labels(notes, fx.derived_labels(spark, sf), KEY).withColumn("readm", F.col("readm").cast("double"))
 
 
 @query
@@ -217,15 +218,16 @@ def tfidf(spark, sf):
     return _rounded(features.tfidf(fx.documents(spark, sf), ["doc_id"]))
 
 
-def _patient_tfidf(spark, sf):
-    notes = fx.turns(spark, sf).select(*KEY, tx.clean(F.col("text")).alias("text"))
-    return features.patient_sum(features.tfidf(notes, KEY))
+def _clean_turns(spark, sf):
+    return fx.turns(spark, sf).select(*KEY, tx.clean(F.col("text")).alias("text"))
 
 
 @query
 def patient_tfidf(spark, sf):
-    rows = splits.attach_labels(_patient_tfidf(spark, sf), fx.derived_labels(spark, sf), ["term"], "inner")
-    return _rounded(rows)
+    notes = _clean_turns(spark, sf)
+    rows = features.patient_sum(features.tfidf(notes, KEY))
+    freq = features.patient_token_counts(notes)
+    return _rounded(splits.attach_labels(rows, fx.derived_labels(spark, sf), ["term"], "inner", freq))
 
 
 # --- vectors ----------------------------------------------------------------------------------
@@ -375,18 +377,18 @@ def matches_overlap(spark, sf):
 
 @query
 def corpus_vocabulary(spark, sf):
-    notes = fx.turns(spark, sf).select(*KEY, tx.clean(F.col("text")).alias("text"))
+    notes = _clean_turns(spark, sf)
     return windows.corpus_vocabulary(notes, min_count=2)
 
 
 @query
 def sequence_windows(spark, sf):
-    notes = fx.turns(spark, sf).select(*KEY, tx.clean(F.col("text")).alias("text"))
+    notes = _clean_turns(spark, sf)
     labelled = splits.attach_labels(notes, fx.derived_labels(spark, sf), KEY)
     vocab = windows.corpus_vocabulary(notes, min_count=2)
     rows = windows.sequence_windows(labelled, KEY, vocab, seq_len=SEQ_LEN, keep=["readm"])
     return rows.select(
-        *KEY, "readm", "seq_idx",
+        *KEY, F.col("readm").cast("double").alias("readm"), "seq_idx",
         F.array_join(F.col("input_ids").cast("array<string>"), " ").alias("input_ids"),
         F.array_join(F.col("attn_mask").cast("array<string>"), " ").alias("attn_mask"),
     )

@@ -270,7 +270,7 @@ SQL: dict[str, str] = {
         UNION ALL SELECT 'labels', 'rows', count(*) FROM lab
         UNION ALL SELECT 'labels', 'patients', count(DISTINCT subject_id) FROM lab""",
     "distinct_patients": "SELECT DISTINCT o_custkey AS subject_id FROM orders",
-    "notes_left_labels": f"WITH {_LABELS}, {_NOTES} SELECT subject_id, hadm_id, readm FROM notes LEFT JOIN lab USING (subject_id)",
+    "notes_left_labels": f"WITH {_LABELS}, {_NOTES} SELECT subject_id, hadm_id, readm::DOUBLE AS readm FROM notes LEFT JOIN lab USING (subject_id)",
     "labels_with_notes": f"WITH {_LABELS} SELECT * FROM lab WHERE subject_id IN (SELECT conv_id FROM conversations)",
     "label_alignment": f"WITH {_LABELS}, {_NOTES} SELECT subject_id, hadm_id, readm FROM notes JOIN lab USING (subject_id)",
     "patient_label_alignment": f"""WITH {_LABELS}, {_NOTES}
@@ -341,7 +341,7 @@ SQL: dict[str, str] = {
                  list(id ORDER BY pos) AS ids FROM coded GROUP BY ALL
           UNION ALL SELECT subject_id, hadm_id, 0, [] FROM toks WHERE len(words) = 0),
         real AS (SELECT subject_id, hadm_id, seq_idx, CASE WHEN seq_idx = 0 THEN [101] || ids || [102] ELSE ids END AS ids FROM blocks)
-        SELECT r.subject_id, hadm_id, readm, seq_idx::INTEGER AS seq_idx,
+        SELECT r.subject_id, hadm_id, readm::DOUBLE AS readm, seq_idx::INTEGER AS seq_idx,
                array_to_string(ids || list_transform(range({_SEQ} - len(ids)), lambda x: 0), ' ') AS input_ids,
                array_to_string(list_transform(ids, lambda x: 1) || list_transform(range({_SEQ} - len(ids)), lambda x: 0), ' ') AS attn_mask
         FROM real r LEFT JOIN lab ON r.subject_id = lab.subject_id""",

@@ -58,3 +58,8 @@ def tfidf(
 def patient_sum(rows: DataFrame, keys: Sequence[str] = ("subject_id",)) -> DataFrame:
     """Sum of note vectors per patient; partial sums shrink a patient before the shuffle."""
     return rows.groupBy(*keys, "term").agg(F.sum("weight").alias("weight"))
+
+
+def patient_token_counts(notes: DataFrame, text: str = "text") -> DataFrame:
+    """``(subject_id, count)`` of tokens: bounds a patient's feature rows without computing them."""
+    return notes.groupBy("subject_id").agg(F.sum(F.size(space_tokens(fill_null(F.col(text))))).alias("count"))

@@ -11,15 +11,16 @@ MAX_HOT_KEYS = 4096
 
 
 def hot_keys(freq: DataFrame, on: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Keys above the row limit with the number of parts to cut them into.
+    """The keys worth cutting and into how many parts, at most 4,096 rows whatever the input.
 
-    The limit is at least 1/4096 of all rows, so at most 4096 keys can exceed it: the result
-    has a proven bound and may be broadcast whatever the size of the input.
+    Keys past the 4,096 most frequent hold less than 1/4,096 of all rows each, so leaving
+    them whole is safe. Ties are broken by the key: both sides of a join see the same list.
     """
-    total = freq.agg(F.sum("count")).scalar()
-    limit = F.greatest(F.lit(float(hot_rows)), total / F.lit(float(MAX_HOT_KEYS)))
-    return freq.filter(F.col("count") > limit).select(
-        *on, F.ceil(F.col("count") / limit).cast("int").alias("_parts")
+    return (
+        freq.filter(F.col("count") > hot_rows)
+        .orderBy(F.col("count").desc(), *on)
+        .limit(MAX_HOT_KEYS)
+        .select(*on, F.ceil(F.col("count") / F.lit(float(hot_rows))).cast("int").alias("_parts"))
     )
 
 
@@ -36,9 +37,10 @@ def skewed_join(
     """Join many ``fact`` rows to ``dim`` on ``on``, cutting every hot key into parts.
 
     ``spread_by`` names fact columns that tell the rows of one key apart; a hash of them
-    picks the part, so a re-run task sends each row to the same place. ``freq`` is the
-    ``(on, count)`` table of the fact side when the caller already has it. Rows of ``dim``
-    are repeated once per part, hence only joins that keep fact rows are allowed.
+    picks the part, so a re-run task sends each row to the same place. ``freq`` is an
+    ``(on, count)`` table of the fact side, exact or an upper bound, for callers that can get
+    it more cheaply than from the fact rows. Rows of ``dim`` are repeated once per part,
+    hence only joins that keep fact rows are allowed.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join type {how!r}")

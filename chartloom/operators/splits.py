@@ -108,9 +108,17 @@ def with_class_weight(rows: DataFrame, label: str = "readm") -> DataFrame:
     return rows.join(F.broadcast(weights), label, "left")
 
 
-def attach_labels(notes: DataFrame, labels: DataFrame, spread_by: Sequence[str], how: str = "left") -> DataFrame:
-    """Each note with its patient's label; ``how='inner'`` keeps labelled notes only."""
-    return skewed_join(notes, labels.select("subject_id", "readm"), ["subject_id"], how, spread_by=spread_by)
+def attach_labels(
+    rows: DataFrame,
+    labels: DataFrame,
+    spread_by: Sequence[str],
+    how: str = "left",
+    freq: DataFrame | None = None,
+) -> DataFrame:
+    """Each row with its patient's label; ``how='inner'`` keeps rows of labelled patients only."""
+    return skewed_join(
+        rows, labels.select("subject_id", "readm"), ["subject_id"], how, spread_by=spread_by, freq=freq
+    )
 
 
 def patient_labels(notes: DataFrame, labels: DataFrame) -> DataFrame:
