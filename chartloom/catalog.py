@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from chartloom.functions import scores, text as tx
 from chartloom.functions.similarity import MEASURES, similarity
-from chartloom.operators import annotate, features, metrics, pooling, splits, windows
+from chartloom.operators import annotate, features, metrics, models, pooling, splits, windows
 from chartloom.operators.labels import admission_counts, prevalence
+from chartloom.plans import bow, embedding, preprocess
+from chartloom.session import cut_lineage, shared_dir
 from chartloom.sources import fixtures as fx, notes as src
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -449,3 +452,92 @@ def evaluation_report(spark, sf):
 @query
 def metrics_by_level(spark, sf):
     return _rounded(metrics.metrics_by_level(fx.logits(spark, sf)))
+
+
+# --- models and sinks (checked by properties in the tests, not by SQL) -------------------------
+
+
+def _bow_rows(spark, sf):
+    labels = cut_lineage(fx.derived_labels(spark, sf))
+    notes = _clean_turns(spark, sf)
+    chosen = cut_lineage(splits.holdout_patients(splits.labels_with_notes(labels, notes)))
+    vectors = bow.patient_vectors(splits.split_column(notes, chosen, KEY), KEY)
+    return cut_lineage(vectors.join(labels, "subject_id"))
+
+
+def _scores(spark, sf, estimator):
+    rows = _bow_rows(spark, sf)
+    model = estimator.fit(rows.filter("split = 'train'"))
+    return models.score(model, rows.filter("split = 'test'"))
+
+
+@query
+def svm_scores(spark, sf):
+    return _scores(spark, sf, models.linear_svm(1e-2, max_iter=10))
+
+
+@query
+def elastic_net_scores(spark, sf):
+    return _scores(spark, sf, models.elastic_net(1e-2, max_iter=10))
+
+
+@query
+def grid_search(spark, sf):
+    rows = _bow_rows(spark, sf).filter("split = 'train'").drop("split")
+    found = models.grid_search(rows, alphas=[1e-3, 1e-1], n_folds=3, max_iter=5, parallelism=8)
+    return models.candidates_table(found, rows)
+
+
+def _embedding(spark, sf):
+    return models.train_embedding(fx.turns(spark, sf), embedding.tokens(), size=16, partitions=4)
+
+
+@query
+def w2v_note_vectors(spark, sf):
+    notes = fx.turns(spark, sf)
+    vectors = embedding.note_features(notes, KEY, _embedding(spark, sf))
+    return vectors.select(*KEY, F.posexplode("vector").alias("pos", "value"))
+
+
+@query
+def w2v_refit(spark, sf):
+    notes, chosen = fx.turns(spark, sf).select(*KEY, "text"), _holdout(spark, sf)
+    model = embedding.refit(
+        splits.outside(notes, chosen, KEY), splits.inside(notes, chosen, KEY), size=16, partitions=4
+    )
+    return models.word_table(model).select("word", F.posexplode("vector").alias("pos", "value"))
+
+
+@query
+def w2v_search(spark, sf):
+    notes, labels = fx.turns(spark, sf), fx.derived_labels(spark, sf)
+    grid = embedding.embedding_grid([8], [5], [1e-2])
+    _, found = embedding.search(
+        notes, labels, KEY, grid=grid, alphas=[1e-2, 1e-1], n_folds=2, max_iter=5, partitions=4
+    )
+    return spark.createDataFrame(found, "size int, window int, rate double, alpha double, auroc double")
+
+
+@query
+def patient_alpha_search(spark, sf):
+    vectors = embedding.note_features(fx.turns(spark, sf).select(*KEY, "text"), KEY, _embedding(spark, sf))
+    rows = cut_lineage(embedding.patient_features(vectors, fx.derived_labels(spark, sf)))
+    found = models.refine_alpha(rows, 1e-2, n_folds=3, max_iter=5, parallelism=8)
+    return models.candidates_table(found, rows)
+
+
+@query
+def holdout_tables(spark, sf):
+    """Writes the four split tables to the shared folder and counts them after reading back."""
+    out = f"{shared_dir(spark)}/holdout-{uuid4().hex}"
+    paths = preprocess.holdout_tables(
+        fx.turns(spark, sf).select(*KEY, "text"), fx.derived_labels(spark, sf), KEY, out
+    )
+
+    def counts(name):
+        stored = spark.read.parquet(paths[name]).groupBy("split").agg(
+            F.count("*").alias("n_rows"), F.countDistinct("subject_id").alias("n_patients")
+        )
+        return stored.withColumn("table", F.lit(name))
+
+    return counts("notes").unionByName(counts("labels"))

@@ -362,4 +362,9 @@ SQL: dict[str, str] = {
     "evaluation_report": f"WITH {_LOGITS} {_report('seqs', 'seqs')}",
     "metrics_by_level": f"""WITH {_LOGITS} {_report('seqs', 'seqs', ", 'sequence' AS level")}
         UNION ALL {_report('pool', 'seqs', ", 'patient' AS level")}""",
+    "holdout_tables": f"""WITH {_NOTE_HOLDOUT},
+        n AS (SELECT *, CASE WHEN subject_id IN (SELECT subject_id FROM chosen) THEN 'test' ELSE 'train' END AS split FROM notes),
+        l AS (SELECT *, CASE WHEN subject_id IN (SELECT subject_id FROM chosen) THEN 'test' ELSE 'train' END AS split FROM nlab)
+        SELECT split, count(*) AS n_rows, count(DISTINCT subject_id) AS n_patients, 'notes' AS "table" FROM n GROUP BY split
+        UNION ALL SELECT split, count(*), count(DISTINCT subject_id), 'labels' FROM l GROUP BY split""",
 }
