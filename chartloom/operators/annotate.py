@@ -270,9 +270,9 @@ def drop_excluded(matches: DataFrame, excluded: Sequence[str] | DataFrame) -> Da
     """
     if isinstance(excluded, DataFrame):
         types = excluded.agg(F.collect_set(excluded.columns[0])).scalar()
-        return matches.filter(~F.forall("semtypes", lambda s: F.array_contains(types, s)))
-    listed = list(excluded)
-    return matches.filter(~F.forall("semtypes", lambda s: s.isin(listed)))
+    else:
+        types = F.array(*(F.lit(t) for t in excluded)).cast("array<string>")
+    return matches.filter(F.size(F.array_except("semtypes", types)) > 0)
 
 
 def concept_arrays(notes: DataFrame, matches: DataFrame, note_key: Sequence[str]) -> DataFrame:
