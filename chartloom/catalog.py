@@ -161,8 +161,9 @@ def holdout_audit(spark, sf):
 
 
 def _holdout(spark, sf):
-    labelled = splits.labels_with_notes(fx.derived_labels(spark, sf), fx.turns(spark, sf))
-    return splits.holdout_patients(labelled)
+    """Hold-out patients, drawn once: several joins of a query use the same list."""
+    labels = cut_lineage(fx.derived_labels(spark, sf))
+    return cut_lineage(splits.holdout_patients(splits.labels_with_notes(labels, fx.turns(spark, sf))))
 
 
 @query

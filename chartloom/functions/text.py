@@ -22,8 +22,7 @@ weren won wouldn
 # Words a treebank-style tokenizer cuts in two, as "head tail".
 SPLIT_WORDS = ("can not", "gim me", "gon na", "got ta", "lem me", "wan na")
 
-NON_LETTERS = "[^a-zA-Z.]"
-BLANKS = r"\s+"
+NON_LETTERS = "[^a-zA-Z.]+"
 WORD_FINAL_PERIODS = r"(\.+)(\s|$)"
 
 
@@ -32,9 +31,11 @@ def fill_null(c: Column) -> Column:
 
 
 def normalize(c: Column) -> Column:
-    """Lower-case, turn everything but letters and periods into blanks, collapse blanks."""
-    letters = F.regexp_replace(F.lower(fill_null(c)), NON_LETTERS, " ")
-    return F.regexp_replace(letters, BLANKS, " ")
+    """Lower-case, turn everything but letters and periods into blanks, collapse blanks.
+
+    Blanks are non-letters themselves, so one pass over runs does both replacements.
+    """
+    return F.regexp_replace(F.lower(fill_null(c)), NON_LETTERS, " ")
 
 
 def drop_periods(c: Column) -> Column:

@@ -162,17 +162,18 @@ def spans(
     units: DataFrame,
     note_key: Sequence[str],
     order: Sequence[int],
-    key_sizes: Mapping[int, tuple[int, int]],
+    key_sizes: Mapping[int, tuple[int, int, int]],
     share: float,
     max_words: int = MAX_WORDS,
 ) -> DataFrame:
-    """``(*note_key, unit, word_pos, n_words, span, places)`` for every span that could match.
+    """``(*note_key, unit, word_pos, n_words, span, places, keys)`` for every span that could match.
 
     A span is a run of 1..max_words words that starts and ends with a letter. ``key_sizes``
-    holds the sizes of the smallest and largest term per place the dictionary index uses.
+    holds, per place the dictionary index uses, the sizes of the smallest and largest term and
+    the longest rest.
     """
     rows = blocks(units, note_key, max_words)
-    smallest = min((low for low, _ in key_sizes.values()), default=1)
+    smallest = min((low for low, _, _ in key_sizes.values()), default=1)
     min_grams = max(1, math.ceil(smallest * share - 1e-9))
     kept = span_filter(order, key_sizes, share, min_grams, max_words, BLOCK_WORDS, len(note_key) + 1)
     schema = T.StructType(
@@ -182,6 +183,7 @@ def spans(
             T.StructField("n_words", T.IntegerType()),
             T.StructField("span", T.StringType()),
             T.StructField("places", T.ArrayType(T.IntegerType(), False)),
+            T.StructField("keys", T.ArrayType(T.IntegerType(), False)),
         ]
     )
     return rows.mapInArrow(kept, schema)
@@ -192,12 +194,10 @@ def spans(
 
 def _similar_terms(rows: DataFrame, index: DataFrame, kind: str, threshold: float, broadcast: bool) -> DataFrame:
     """Rows with each similar term once: a pair counts at its first common trigram only."""
+    columns = [c for c in rows.columns if c not in ("places", "keys")]
     own = F.size("places")
-    prefix = F.slice("places", F.lit(1), sim.prefix_length(kind, threshold, own))
-    keyed = (
-        rows.select("*", own.alias("_own"), F.posexplode(prefix).alias("_at", "key"))
-        .filter(F.col("key") > 0)
-        .withColumn("_rest", F.col("_own") - F.col("_at"))
+    keyed = rows.select(*columns, "places", own.alias("_own"), F.explode("keys").alias("key")).withColumn(
+        "_rest", F.col("_own") - F.array_position("places", F.col("key")) + 1
     )
     # at the first common trigram, nothing before it on either side can be shared
     reach = sim.similarity(kind, F.least("_rest", "rest"), F.col("_own"), F.col("size"))
@@ -206,7 +206,6 @@ def _similar_terms(rows: DataFrame, index: DataFrame, kind: str, threshold: floa
         F.col("key") == F.array_min("_common")
     )
     value = sim.similarity(kind, F.size("_common"), F.col("_own"), F.col("size"))
-    columns = [c for c in rows.columns if c != "places"]
     return scored.select(*columns, "term", value.alias("similarity")).filter(F.col("similarity") >= threshold)
 
 
@@ -235,10 +234,10 @@ def match_spans(
     # one row per key of the order, so at most one per trigram of the alphabet
     keys = (
         index.groupBy("key")
-        .agg(F.count("*").alias("rows"), F.min("size").alias("low"), F.max("size").alias("high"))
+        .agg(F.count("*").alias("rows"), F.min("size").alias("low"), F.max("size").alias("high"), F.max("rest").alias("rest"))
         .collect()
     )
-    key_sizes = {k["key"]: (k["low"], k["high"]) for k in keys}
+    key_sizes = {k["key"]: (k["low"], k["high"], k["rest"]) for k in keys}
     index_rows = max(sum(k["rows"] for k in keys), dictionary.count())
     units = note_units(notes, note_key, text, granularity)
     share = sim.required_share(kind, threshold)
@@ -247,10 +246,10 @@ def match_spans(
     if index_rows <= index_rows_to_broadcast:
         hits = _similar_terms(found, index, kind, threshold, broadcast=True)
         return hits.join(F.broadcast(concepts), "term")
-    distinct = found.groupBy("span").agg(F.first("places").alias("places"))
+    distinct = found.groupBy("span").agg(F.first("places").alias("places"), F.first("keys").alias("keys"))
     similar = _similar_terms(distinct, index, kind, threshold, broadcast=False).join(concepts, "term")
     return skewed_join(
-        found.drop("places"), similar, ["span"], spread_by=[*note_key, "unit", "word_pos"], hot_rows=hot_rows
+        found.drop("places", "keys"), similar, ["span"], spread_by=[*note_key, "unit", "word_pos"], hot_rows=hot_rows
     )
 
 

@@ -17,8 +17,12 @@ def term_frequencies(notes: DataFrame, keep: Sequence[str], text: str = "text",
 
 
 def document_frequencies(tf: DataFrame) -> DataFrame:
-    """``(term, df)``; a term frequency table holds each note's terms once, so rows count notes."""
-    return tf.groupBy("term").agg(F.count("*").alias("df"))
+    """``(term, df)``; a term frequency table holds each note's terms once, so rows count notes.
+
+    The explicit null filter is what a join on the term would add: with it, every use of the
+    table in one query has the same plan below its exchange and the exchange is shared.
+    """
+    return tf.filter(F.col("term").isNotNull()).groupBy("term").agg(F.count("*").alias("df"))
 
 
 def smoothed_idf(df: DataFrame, n_notes: Column) -> DataFrame:

@@ -11,8 +11,11 @@ from collections.abc import Callable, Iterator, Mapping, Sequence
 import numpy as np
 import pyarrow as pa
 
-ROWS_AT_ONCE = 256
+ROWS_AT_ONCE = 16  # keeps the working arrays inside the processor caches
 _BREAK = 28
+# places lie between -32,768 and 32,767
+_PLACE_BITS = 16
+_SHIFT = 1 << 15
 
 
 def _symbols() -> np.ndarray:
@@ -25,7 +28,7 @@ def _symbols() -> np.ndarray:
 
 def span_filter(
     places: Sequence[int],
-    key_sizes: Mapping[int, tuple[int, int]],
+    key_sizes: Mapping[int, tuple[int, int, int]],
     share: float,
     min_grams: int,
     max_words: int,
@@ -33,23 +36,27 @@ def span_filter(
     key_columns: int,
 ) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Batches of ``(*key_columns, first, block)`` to
-    ``(*key_columns, word_pos, n_words, span, places)``.
+    ``(*key_columns, word_pos, n_words, span, places, keys)``.
 
     ``places`` maps trigram codes to the global order; ``key_sizes`` gives, for every place a
-    dictionary prefix uses, the smallest and largest term using it; ``share`` is the part of
-    a set any partner must contain. A span stays when its own prefix holds such a place with
-    a term of compatible size. ``places`` out is the sorted set of the span's trigrams.
+    dictionary prefix uses, the smallest and largest term using it and the most trigrams any
+    term has from there on; ``share`` is the part of a set any partner must contain. A span
+    stays when its own prefix holds such a place with terms of compatible size: these are its
+    ``keys``. ``places`` out is the sorted set of the span's trigrams.
     """
     place_of = np.asarray(places, dtype=np.int32)
-    low = np.full(int(place_of.max(initial=0)) + 1, np.iinfo(np.int32).max, dtype=np.int32)
-    high = np.zeros(len(low), dtype=np.int32)
-    for key, (smallest, largest) in key_sizes.items():
-        low[key], high[key] = smallest, largest
+    low, high, longest_rest = np.zeros((3, 2 * _SHIFT), dtype=np.int32)
+    for key, sizes in key_sizes.items():
+        low[key + _SHIFT], high[key + _SHIFT], longest_rest[key + _SHIFT] = sizes
     table = _symbols()
 
     def running(flags: np.ndarray) -> np.ndarray:
         return np.concatenate(([0], np.cumsum(flags, dtype=np.int64)))
 
+    def to_lists(lengths: np.ndarray, values: np.ndarray) -> pa.Array:
+        offsets = np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.astype(np.int32)))
+
     def candidates(sym: np.ndarray, has_key: np.ndarray) -> tuple[np.ndarray, ...]:
         """Spans ``(row, word, n_words, start, end)`` with at least one dictionary key inside."""
         n_key = running(has_key)
@@ -73,42 +80,47 @@ def span_filter(
             np.zeros(0, dtype=np.int64),
         ) * 5
 
-    def select(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str], pa.Array]:
+    def select(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str], pa.Array, pa.Array]:
         joined = ("\n".join(texts) + "\n\n\n").encode("ascii")
         sym = table[np.frombuffer(joined, dtype=np.uint8)]
         place = place_of[(sym[:-2] << 10) | (sym[1:-1] << 5) | sym[2:]]
-        row, word, n_words, start, end = candidates(sym, high[np.maximum(place, 0)] > 0)
+        row, word, n_words, start, end = candidates(sym, high[place + _SHIFT] > 0)
 
         # all trigrams of all spans, sorted and made distinct within their span
         grams = end - start - 2
         span = np.repeat(np.arange(len(start)), grams)
         at = np.arange(len(span)) - np.repeat(np.cumsum(grams) - grams, grams) + np.repeat(start, grams)
-        item = np.sort((span << 17) + (place[at] + (1 << 16)))
-        item = item[np.concatenate(([True], item[1:] != item[:-1]))] if len(item) else item
-        span, held = item >> 17, (item & ((1 << 17) - 1)) - (1 << 16)
+        item = np.sort((span << _PLACE_BITS) | (place[at] + _SHIFT))
+        if len(item):
+            item = item[np.concatenate(([True], item[1:] != item[:-1]))]
+        span, held = item >> _PLACE_BITS, item & (2 * _SHIFT - 1)
         size = np.bincount(span, minlength=len(start))
         offset = np.concatenate(([0], np.cumsum(size)))
-        prefix = size - np.maximum(1, np.ceil(size * share - 1e-9)).astype(np.int64) + 1
-
-        known = np.maximum(held, 0)
-        own = size[span]
-        match = (np.arange(len(item)) - offset[span] < prefix[span]) & (high[known] > 0)
-        match &= (high[known] >= own * share - 1e-9) & (own >= low[known] * share - 1e-9)
+        needed = np.maximum(1.0, size * share - 1e-9)
+
+        # everything below looks only at the trigrams that are keys of the dictionary
+        hit = np.flatnonzero(high[held] > 0)
+        owner, key = span[hit], held[hit]
+        rest = size[owner] - (hit - offset[owner])
+        match = rest >= needed[owner]
+        match &= np.minimum(rest, longest_rest[key]) >= needed[owner]
+        match &= high[key] >= needed[owner]
+        match &= size[owner] >= low[key] * share - 1e-9
+        owner, key = owner[match], key[match]
         kept = np.zeros(len(start), dtype=bool)
-        kept[span[match]] = True
-        lists = pa.ListArray.from_arrays(
-            pa.array(np.concatenate(([0], np.cumsum(size[kept]))).astype(np.int32)),
-            pa.array(held[kept[span]].astype(np.int32)),
-        )
+        kept[owner] = True
+        sets = to_lists(size[kept], held[kept[span]] - _SHIFT)
+        keys = to_lists(np.bincount(owner, minlength=len(start))[kept], key - _SHIFT)
         text = [joined[a:b].decode("ascii") for a, b in zip(start[kept], end[kept])]
-        return row[kept], word[kept], n_words[kept], text, lists
+        return row[kept], word[kept], n_words[kept], text, sets, keys
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
+            names = whole.schema.names[:key_columns]
             for begin in range(0, whole.num_rows, ROWS_AT_ONCE):
                 batch = whole.slice(begin, ROWS_AT_ONCE)
-                row, word, n_words, text, lists = select(batch.column("block").to_pylist())
-                taken = batch.take(pa.array(row, type=pa.int64()))
+                row, word, n_words, text, sets, keys = select(batch.column("block").to_pylist())
+                taken = batch.select([*names, "first"]).take(pa.array(row, type=pa.int64()))
                 first = taken.column("first").to_numpy(zero_copy_only=False)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -116,9 +128,10 @@ def span_filter(
                         pa.array((first + word).astype(np.int32)),
                         pa.array(n_words.astype(np.int32)),
                         pa.array(text, type=pa.string()),
-                        lists,
+                        sets,
+                        keys,
                     ],
-                    names=[*whole.schema.names[:key_columns], "word_pos", "n_words", "span", "places"],
+                    names=[*names, "word_pos", "n_words", "span", "places", "keys"],
                 )
 
     return run
