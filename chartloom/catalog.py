@@ -11,6 +11,7 @@ from chartloom.functions import scores, text as tx
 from chartloom.functions.similarity import MEASURES, similarity
 from chartloom.operators import annotate, features, metrics, models, pooling, splits, windows
 from chartloom.operators.labels import admission_counts, prevalence
+from chartloom.operators.vocabulary import vocabulary
 from chartloom.plans import bow, embedding, preprocess
 from chartloom.session import cut_lineage, shared_dir
 from chartloom.sources import fixtures as fx, notes as src
@@ -389,8 +390,10 @@ def corpus_vocabulary(spark, sf):
 def sequence_windows(spark, sf):
     notes = _clean_turns(spark, sf)
     labelled = splits.attach_labels(notes, fx.derived_labels(spark, sf), KEY)
-    vocab = windows.corpus_vocabulary(notes, min_count=2)
-    rows = windows.sequence_windows(labelled, KEY, vocab, seq_len=SEQ_LEN, keep=["readm"])
+    totals = windows.term_totals(notes)
+    rows = windows.sequence_windows(
+        labelled, KEY, vocabulary(totals, min_count=2), seq_len=SEQ_LEN, keep=["readm"], totals=totals
+    )
     return rows.select(
         *KEY, F.col("readm").cast("double").alias("readm"), "seq_idx",
         F.array_join(F.col("input_ids").cast("array<string>"), " ").alias("input_ids"),

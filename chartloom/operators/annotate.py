@@ -199,14 +199,15 @@ def _similar_terms(rows: DataFrame, index: DataFrame, kind: str, threshold: floa
     keyed = rows.select(*columns, "places", own.alias("_own"), F.explode("keys").alias("key")).withColumn(
         "_rest", F.col("_own") - F.array_position("places", F.col("key")) + 1
     )
+    common = F.array_intersect("places", "term_places")
+    value = sim.similarity(kind, F.size(common), F.col("_own"), F.col("size"))
     # at the first common trigram, nothing before it on either side can be shared
     reach = sim.similarity(kind, F.least("_rest", "rest"), F.col("_own"), F.col("size"))
-    pairs = keyed.join(F.broadcast(index) if broadcast else index, "key").filter(reach >= threshold)
-    scored = pairs.withColumn("_common", F.array_intersect("places", "term_places")).filter(
-        F.col("key") == F.array_min("_common")
+    # one conjunction, cheapest first: sets are intersected only where the bound allows a match
+    pairs = keyed.join(F.broadcast(index) if broadcast else index, "key").filter(
+        (reach >= threshold) & (value >= threshold) & (F.col("key") == F.array_min(common))
     )
-    value = sim.similarity(kind, F.size("_common"), F.col("_own"), F.col("size"))
-    return scored.select(*columns, "term", value.alias("similarity")).filter(F.col("similarity") >= threshold)
+    return pairs.select(*columns, "term", value.alias("similarity"))
 
 
 def match_spans(

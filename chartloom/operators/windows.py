@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from chartloom.functions.scores import pooled
 from chartloom.functions.text import fill_null, space_tokens, term_counts
 from chartloom.operators.skew import HOT_ROWS, skewed_join
 from chartloom.operators.vocabulary import CLS_ID, PAD_ID, SEP_ID, UNK_ID, vocabulary
@@ -15,13 +16,18 @@ def _words(text: str) -> Column:
     return F.filter(space_tokens(fill_null(F.col(text))), lambda w: w != "")
 
 
-def corpus_vocabulary(notes: DataFrame, text: str = "text", min_count: int = 1) -> DataFrame:
-    totals = (
+def term_totals(notes: DataFrame, text: str = "text") -> DataFrame:
+    """``(term, count)`` over all notes, summed inside each row first."""
+    return (
         notes.select(F.inline(term_counts(_words(text))))
+        .filter(F.col("term").isNotNull())
         .groupBy("term")
         .agg(F.sum("tf").alias("count"))
     )
-    return vocabulary(totals, min_count)
+
+
+def corpus_vocabulary(notes: DataFrame, text: str = "text", min_count: int = 1) -> DataFrame:
+    return vocabulary(term_totals(notes, text), min_count)
 
 
 def sequence_windows(
@@ -31,6 +37,7 @@ def sequence_windows(
     text: str = "text",
     seq_len: int = 256,
     keep: Sequence[str] = (),
+    totals: DataFrame | None = None,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """``(*note_key, *keep, seq_idx, input_ids, attn_mask)``.
@@ -38,21 +45,20 @@ def sequence_windows(
     Sequence 0 is ``[CLS]`` + the first ``seq_len - 2`` ids + ``[SEP]``; the rest of the note
     follows in blocks of ``seq_len`` without special tokens. All are padded with zeros.
     Tokens are grouped by (note, block), so no group exceeds ``seq_len`` rows however long
-    the note is.
+    the note is. ``totals`` are the ``term_totals`` of the notes, if the caller has them.
     """
     if seq_len < 3:
         raise ValueError(f"seq_len must be at least 3, got {seq_len}")
     columns = [*note_key, *keep]
     first = seq_len - 2
     tokens = notes.select(*columns, F.posexplode_outer(_words(text)).alias("pos", "term"))
-    freq = notes.select(F.inline(term_counts(_words(text)))).groupBy("term").agg(F.sum("tf").alias("count"))
     coded = skewed_join(
         tokens,
         vocab.select("term", "token_id"),
         ["term"],
         "left",
         spread_by=[*note_key, "pos"],
-        freq=freq,
+        freq=term_totals(notes, text) if totals is None else totals,
         hot_rows=hot_rows,
     ).select(
         *columns,
@@ -89,8 +95,6 @@ def pool_scores(
     ``(max + mean * n / scale) / (1 + n / scale)``; a single sequence keeps its own scores.
     The label is that of the patient's first sequence.
     """
-    from chartloom.functions.scores import pooled
-
     n = F.count("*").alias("n_sequences")
     per_class = []
     for c in range(n_classes):

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from chartloom.operators import metrics, splits, windows
+from chartloom.operators.vocabulary import vocabulary
 
 
 def prepare(
@@ -26,8 +27,10 @@ def prepare(
     labelled = splits.attach_labels(notes.select(*note_key, text), labels, note_key)
     marked = splits.split_column(labelled, splits.validation_patients(notes, val_frac, seed), note_key)
     named = marked.withColumn("split", F.when(F.col("split") == "test", "validation").otherwise("train"))
-    vocab = windows.corpus_vocabulary(notes, text, min_count)
-    rows = windows.sequence_windows(named, note_key, vocab, text, seq_len, keep=["readm", "split"])
+    totals = windows.term_totals(notes, text)
+    rows = windows.sequence_windows(
+        named, note_key, vocabulary(totals, min_count), text, seq_len, keep=["readm", "split"], totals=totals
+    )
     return splits.with_class_weight(rows)
 
 
