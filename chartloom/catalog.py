@@ -465,8 +465,8 @@ def _bow_rows(spark, sf):
     labels = cut_lineage(fx.derived_labels(spark, sf))
     notes = _clean_turns(spark, sf)
     chosen = cut_lineage(splits.holdout_patients(splits.labels_with_notes(labels, notes)))
-    vectors = bow.patient_vectors(splits.split_column(notes, chosen, KEY), KEY)
-    return cut_lineage(vectors.join(labels, "subject_id"))
+    vectors = bow.patient_vectors(notes, KEY)
+    return cut_lineage(vectors.join(splits.split_column(labels, chosen, ["subject_id"]), "subject_id"))
 
 
 def _scores(spark, sf, estimator):
