@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+from functools import lru_cache
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,12 +42,20 @@ def shared_dir(spark: SparkSession) -> str:
         return configured
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"set {CHECKPOINT_KEY} to a folder shared by all executors")
+    return _local_dir(spark.sparkContext.applicationId)
+
+
+@lru_cache
+def _local_dir(application: str) -> str:
     return tempfile.mkdtemp(prefix="run-", dir="/tmp")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint of ``df`` in the shared folder."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint()
+    """``df`` as a table written to the shared folder and read back.
+
+    Later reads neither recompute ``df`` nor depend on executors that computed it. Unlike
+    ``DataFrame.checkpoint``, the last stage runs once, and the planner learns the size.
+    """
+    path = f"{shared_dir(df.sparkSession)}/table-{uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
