@@ -9,12 +9,19 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+PARTITION_BYTES = 128 << 20
+MOST_PARTITIONS = 200_000
 
 
-def build_session(app: str = "chartloom", master: str | None = None, **conf: str) -> SparkSession:
+def build_session(
+    app: str = "chartloom", master: str | None = None, shuffle_bytes: int | None = None, **conf: str
+) -> SparkSession:
     """A session with adaptive execution on, UTC timestamps and the caller's overrides.
 
-    Keyword names use ``__`` for dots: ``spark__sql__shuffle__partitions="8"``.
+    ``shuffle_bytes`` is the size of the largest exchange expected (about the size of the
+    text): exchanges start with one partition per 128 MB of it, at least 200, and adaptive
+    execution merges small ones. Keyword names use ``__`` for dots:
+    ``spark__sql__shuffle__partitions="8"``.
     """
     builder = SparkSession.builder.appName(app)
     if master:
@@ -24,8 +31,11 @@ def build_session(app: str = "chartloom", master: str | None = None, **conf: str
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
-        **{k.replace("__", "."): v for k, v in conf.items()},
     }
+    if shuffle_bytes is not None:
+        initial = min(MOST_PARTITIONS, max(200, -(-shuffle_bytes // PARTITION_BYTES)))
+        settings["spark.sql.adaptive.coalescePartitions.initialPartitionNum"] = str(initial)
+    settings.update({k.replace("__", "."): v for k, v in conf.items()})
     for key, value in settings.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()

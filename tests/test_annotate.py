@@ -81,20 +81,24 @@ def make_notes():
 
 @pytest.fixture(scope="module")
 def notes(spark):
-    return spark.createDataFrame(make_notes(), "note long, text string")
+    return spark.createDataFrame(make_notes(), "note long, text string").repartition(2).cache()
 
 
 @pytest.fixture(scope="module")
 def dictionary(spark):
-    return spark.createDataFrame(DICTIONARY, "term string, cui string, semtypes array<string>")
+    return spark.createDataFrame(DICTIONARY, "term string, cui string, semtypes array<string>").coalesce(1).cache()
+
+
+BROADCAST, SHUFFLED = 10**6, 0
 
 
-@pytest.mark.parametrize("bound", [0, 10**6])
 @pytest.mark.parametrize(
-    "kind,threshold,granularity",
+    "kind,threshold,granularity,bound",
     [
-        ("jaccard", 0.7, "N"), ("jaccard", 0.7, "S"), ("jaccard", 0.7, "W"), ("jaccard", 1.0, "N"), ("jaccard", 0.3, "N"),
-        ("dice", 0.8, "N"), ("cosine", 0.75, "S"), ("overlap", 0.9, "N"),
+        ("jaccard", 0.7, "N", BROADCAST), ("jaccard", 0.7, "N", SHUFFLED), ("jaccard", 0.7, "S", SHUFFLED),
+        ("jaccard", 0.7, "W", BROADCAST), ("jaccard", 1.0, "N", BROADCAST), ("jaccard", 0.3, "S", BROADCAST),
+        ("dice", 0.8, "N", BROADCAST), ("cosine", 0.75, "S", BROADCAST), ("overlap", 0.9, "N", BROADCAST),
+        ("overlap", 0.9, "S", SHUFFLED),
     ],
 )
 def test_matches_equal_brute_force(notes, dictionary, kind, threshold, granularity, bound):

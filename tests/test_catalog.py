@@ -9,6 +9,7 @@ from pathlib import Path
 import duckdb
 import pandas as pd
 import pytest
+from conftest import plan_of
 
 import __spark_entry__ as contract
 
@@ -50,6 +51,17 @@ def test_model_query_runs(spark, name):
     assert contract.queries()[name](spark, str(DATA)).count() > 0
 
 
+@pytest.mark.parametrize("name,columns", [
+    ("corpus_summary", {"conv_id", "turn"}), ("split_anti", {"conv_id", "turn"}), ("annotate_concepts", {"doc_id", "text"}),
+    ("binary_metrics", {"doc_id", "n_chars"}),
+])
+def test_scans_read_only_what_is_used(spark, name, columns):
+    plan = plan_of(contract.queries()[name](spark, str(DATA)))
+    read = {c.split(":")[0] for schema in re.findall(r"ReadSchema: struct<(.*?)>\n", plan) for c in schema.split(",") if c}
+    others = {"text", "role", "lang", "source", "n_chars", "conv_id", "turn", "doc_id"} - columns
+    assert columns <= read and not read & others - ({"text"} if name == "annotate_concepts" else set())
+
+
 def test_flagship(spark):
     df = contract.entry(spark)
     assert df.columns == ["subject_id", "term", "weight", "readm"] and df.count() > 0

@@ -79,3 +79,17 @@ def test_sinks(spark, tmp_path):
 def test_shared_folder_comes_from_the_session(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
     assert cut_lineage(spark.range(5)).count() == 5
+
+
+def test_local_sessions_may_use_a_temporary_folder(monkeypatch):
+    from types import SimpleNamespace
+
+    def fake(master, configured=None):
+        conf = SimpleNamespace(get=lambda *_: configured)
+        context = SimpleNamespace(master=master, applicationId="app-1", getConf=lambda: conf)
+        return SimpleNamespace(conf=conf, sparkContext=context)
+
+    assert shared_dir(fake("yarn", "hdfs:///x")) == "hdfs:///x"
+    assert shared_dir(fake("local[2]")).startswith("/tmp/run-") and shared_dir(fake("local[2]")) == shared_dir(fake("local[2]"))
+    with pytest.raises(ValueError):
+        shared_dir(fake("yarn"))
