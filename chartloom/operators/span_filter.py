@@ -7,11 +7,13 @@ found afterwards by a Spark join.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping, Sequence
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
-ROWS_AT_ONCE = 16  # keeps the working arrays inside the processor caches
+CHARS_AT_ONCE = 24_000  # keeps the working arrays inside the processor caches
 _BREAK = 28
 # places lie between -32,768 and 32,767
 _PLACE_BITS = 16
@@ -117,8 +119,10 @@ def span_filter(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             names = whole.schema.names[:key_columns]
-            for begin in range(0, whole.num_rows, ROWS_AT_ONCE):
-                batch = whole.slice(begin, ROWS_AT_ONCE)
+            reached = np.cumsum(pc.binary_length(whole.column("block")).to_numpy(zero_copy_only=False))
+            cuts = np.flatnonzero(np.diff(reached // CHARS_AT_ONCE)) + 1
+            for begin, stop in pairwise([0, *cuts.tolist(), whole.num_rows]):
+                batch = whole.slice(begin, stop - begin)
                 row, word, n_words, text, sets, keys = select(batch.column("block").to_pylist())
                 taken = batch.select([*names, "first"]).take(pa.array(row, type=pa.int64()))
                 first = taken.column("first").to_numpy(zero_copy_only=False)
