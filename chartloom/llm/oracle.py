@@ -18,3 +18,30 @@ FROM m JOIN n USING (item_id) WHERE 100 * n_shared >= 80 * n_item
 """
 
 SQL = {"op5_benchmark_decontamination": OP5}
+
+OP10 = """
+WITH RECURSIVE w AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w
+    FROM documents
+),
+s AS (
+    SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+        ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i+2], ' '))) END AS s
+    FROM w
+),
+sorted AS (SELECT doc_id, list_sort(s) AS l FROM s),
+classes AS (SELECT min(doc_id) AS rep, l, len(l) AS n FROM sorted WHERE len(l) > 0 GROUP BY l),
+x AS (SELECT rep, n, unnest(l) AS h FROM classes),
+pairs AS (
+    SELECT a.rep AS a, b.rep AS b FROM x a JOIN x b ON a.h = b.h AND a.rep < b.rep AND 100 * a.n >= 85 * b.n AND 100 * b.n >= 85 * a.n
+    GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+),
+edges AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs UNION SELECT rep, rep FROM classes),
+reach(a, b) AS (SELECT a, b FROM edges UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a),
+comp AS (SELECT a AS rep, min(b) AS component_id FROM reach GROUP BY a)
+SELECT d.doc_id, CAST(len(d.l) AS BIGINT) AS n_shingles, coalesce(comp.component_id, d.doc_id) AS component_id,
+    d.doc_id = coalesce(comp.component_id, d.doc_id) AS kept
+FROM sorted d LEFT JOIN classes ON d.l = classes.l LEFT JOIN comp ON comp.rep = classes.rep
+"""
+
+SQL["op10_minhash_near_dedup"] = OP10

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from chartloom.llm import decontam, langid, secrets, wordbpe
+from chartloom.llm import decontam, langid, neardup, secrets, wordbpe
 from chartloom.llm.oracle import SQL  # noqa: F401
 
 QUERIES = {
@@ -12,5 +12,6 @@ QUERIES = {
         decontam.op5_benchmark_decontamination,
         secrets.op6_secret_scans,
         wordbpe.op9_word_bpe,
+        neardup.op10_minhash_near_dedup,
     )
 }
