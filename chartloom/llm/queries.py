@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from chartloom.llm import covertree, decontam, langid, neardup, secrets, wordbpe
+from chartloom.llm import covertree, decontam, langid, neardup, secrets, warc, wordbpe
 from chartloom.llm.oracle import SQL  # noqa: F401
 
 QUERIES = {
@@ -11,6 +11,7 @@ QUERIES = {
         langid.op3_language_id,
         decontam.op5_benchmark_decontamination,
         secrets.op6_secret_scans,
+        warc.op4_warc,
         covertree.op7_exact_top_k,
         wordbpe.op9_word_bpe,
         neardup.op10_minhash_near_dedup,
