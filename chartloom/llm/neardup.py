@@ -5,7 +5,7 @@ combination of one sub-key from each, so m + m sub-keys make m * m tables. A pai
 probability about ``2 * (1 - s ** ROWS) ** m``; m is chosen to keep that below ``miss`` at the threshold.
 
 1. Documents with equal shingle sets form a class; its smallest ``doc_id`` stands for it (partial aggregate).
-2. Representatives meet in tables. Buckets with the same members are taken once.
+2. Representatives meet in tables, keyed by combinations of sub-keys they share with others. Buckets with the same members are taken once.
 3. Buckets of at most ``TILE`` members are verified whole. Larger ones are merged where they overlap, and
    the merged cells are cut into tiles; every pair of tiles is verified. No pair is left out, no task sees more than
    two tiles, and no pairs are emitted: a task counts intersections of its full sets by products of their 0/1 matrices and
@@ -24,7 +24,7 @@ from math import ceil, log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from chartloom.llm.common import Words, distinct_by_row, frame, mix, only, pieces, table, word_class
 from chartloom.llm.components import components
@@ -78,12 +78,16 @@ def sketches(docs: DataFrame, size: int, m: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n long, f1 long, f2 long, sub array<long>")
 
 
-def table_keys(m: int) -> Column:
-    """The keys of all m * m tables from the sub-keys of both collections."""
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(m * m - 1)),
-        lambda t: F.xxhash64(t, F.get("sub", F.floor(t / m).cast("int")), F.get("sub", (t % m + m).cast("int"))),
-    )
+def table_keys(full: DataFrame, m: int) -> DataFrame:
+    """``(rep, key)`` in every table where the representative may meet another.
+
+    A key combines a sub-key of the first collection with one of the second, so two sets meet in a table only
+    where both sub-keys are equal. Sub-keys that no one shares are left out before any are combined.
+    """
+    subs = full.select(F.col("doc_id").alias("rep"), F.posexplode("sub").alias("slot", "value")).withColumn("sub", F.xxhash64("slot", "value"))
+    shared = cut_lineage(subs.groupBy("sub").agg(F.count("*").alias("n")).filter("n > 1").select("sub"))
+    own = subs.join(shared, "sub").groupBy("rep").agg(F.collect_list(F.when(F.col("slot") < m, F.col("sub"))).alias("a"), F.collect_list(F.when(F.col("slot") >= m, F.col("sub"))).alias("b"))
+    return own.select("rep", "b", F.explode("a").alias("x")).select("rep", "x", F.explode("b").alias("y")).select("rep", F.xxhash64("x", "y").alias("key"))
 
 
 def linked_pairs(sets: list[np.ndarray], percent: int) -> np.ndarray:
@@ -161,7 +165,11 @@ def _tasks(members: DataFrame) -> DataFrame:
     large = members.filter(F.col("count") > TILE)
     if large.isEmpty():
         return small
-    cells = components(large.filter("rep != leader").select(F.col("rep").alias("a"), F.col("leader").alias("b")).distinct())
+    # Members of a bucket are connected through its leader. Each names the least of its leaders, and a leader is tied to
+    # the names its members gave: as connected as all pairs of member and leader, but with few edges.
+    named = cut_lineage(large.groupBy("rep").agg(F.min("leader").alias("name")))
+    tied = large.join(named, "rep").select(F.col("leader").alias("a"), F.col("name").alias("b")).distinct()
+    cells = components(named.select(F.col("rep").alias("a"), F.col("name").alias("b")).unionByName(tied))
     sizes = cells.groupBy("component").agg(F.ceil(F.count("*") / F.lit(TILE // 2)).alias("tiles"))
     placed = cut_lineage(cells).join(cut_lineage(sizes), "component").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")))
     # Tile t takes part in the tasks (t, u) and (u, t) for every other tile u, and in (t, t).
@@ -182,9 +190,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, miss: flo
     classes = cut_lineage(full.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep")))
     placed = cut_lineage(full.select("doc_id", "n", "f1", "f2").join(classes, ["n", "f1", "f2"]).select("doc_id", "n", "rep"))
     # 2: tables, of representatives only
-    keys = full.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select(
-        F.col("doc_id").alias("rep"), F.explode(table_keys(m)).alias("key")
-    )
+    keys = cut_lineage(table_keys(full.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), m))
     buckets = (
         keys.groupBy("key")
         .agg(F.count("*").alias("count"), F.min("rep").alias("leader"), F.bit_xor(F.xxhash64("rep")).alias("x1"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("x2"))
