@@ -9,7 +9,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 19
+BATCH_BYTES = 4 << 20
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -22,6 +23,12 @@ def only(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*(df[c] for c in columns))
 
 
+def map_batches(df: DataFrame, function, schema) -> DataFrame:
+    """``mapInArrow`` with batches bounded in bytes: 10,000 long texts at once would not fit a worker."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df.mapInArrow(function, schema)
+
+
 def pieces(batch: pa.RecordBatch, column: str, most: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of about ``most`` bytes of text each, one row at least: bounds what a task holds at a time."""
     sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64)
@@ -61,7 +68,7 @@ _power: dict[str, np.ndarray] = {}
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd number and of its inverse modulo 2**64."""
     if len(_power.get("up", ())) < n:
-        n = max(n, 2 * PIECE_BYTES)
+        n = max(n, PIECE_BYTES + (PIECE_BYTES >> 2))
         inverse = np.uint64(pow(int(_PRIME), -1, 2**64))
         with np.errstate(over="ignore"):
             for name, base in (("up", _PRIME), ("down", inverse)):

@@ -24,7 +24,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from chartloom.llm.common import Words, frame, mix, only, pieces, table, utf8, word_class
+from chartloom.llm.common import Words, frame, map_batches, mix, only, pieces, table, utf8, word_class
 
 MAX_LABELLED, MAX_POOL, ROUNDS, PER_ROUND, SURE = 4000, 6000, 5, 200, 0.95
 FOLDS, CALIBRATION = 5, 1
@@ -237,7 +237,7 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
                 )
 
     sample = sample.withColumns({"quality": F.col("quality").cast("int"), "fold": _fold(F.col("doc_id"))})
-    got = sample.mapInArrow(vectors, "doc_id long, label int, fold int, text binary, meta binary").toArrow().sort_by("doc_id")
+    got = map_batches(sample, vectors, "doc_id long, label int, fold int, text binary, meta binary").toArrow().sort_by("doc_id")
     view = lambda name, dim: np.frombuffer(b"".join(got.column(name).to_pylist()), np.float32).reshape(-1, dim)
     return co_train(view("text", TEXT_DIM), view("meta", META_DIM), np.array(got.column("label")), np.array(got.column("fold")))
 
@@ -255,7 +255,7 @@ def score(docs: DataFrame, model: CoTrained, threshold: float = THRESHOLD) -> Da
                 a, b, both = shared.value.score(*_views(piece))
                 yield frame(_ARROW, piece.column("doc_id"), a, b, both, both >= threshold)
 
-    return only(docs, *_COLUMNS).mapInArrow(run, "doc_id long, text_score double, meta_score double, score double, keep boolean")
+    return map_batches(only(docs, *_COLUMNS), run, "doc_id long, text_score double, meta_score double, score double, keep boolean")
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

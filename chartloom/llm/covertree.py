@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from chartloom.llm.common import only, table
+from chartloom.llm.common import map_batches, only, table
 from chartloom.session import cut_lineage
 
 BLOCK_ROWS, QUERY_ROWS, LEAF = 4096, 8192, 24
@@ -194,7 +194,7 @@ def packed(rows: DataFrame, dim: int, k: int, block_rows: int = BLOCK_ROWS) -> D
         if ids:
             yield block()
 
-    return rows.filter(F.col("vec_id").isNotNull()).mapInArrow(run, "ids binary, data binary")
+    return map_batches(rows.filter(F.col("vec_id").isNotNull()), run, "ids binary, data binary")
 
 
 def top_k(queries: DataFrame, vectors: DataFrame, k: int, scale: int = 256, query_rows: int = QUERY_ROWS) -> DataFrame:
@@ -225,7 +225,7 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int, scale: int = 256, quer
                 [pa.array(q_ids[row]), pa.array(best.id[row, place]), pa.array(best.score[row, place].astype(np.int64))], names=["query_id", "vec_id", "score"]
             )
 
-        part = blocks.mapInArrow(run, "query_id long, vec_id long, score long")
+        part = map_batches(blocks, run, "query_id long, vec_id long, score long")
         found = part if found is None else found.unionByName(part)
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from chartloom.llm.common import Words, distinct_by_row, frame, only, pieces, table, word_class
+from chartloom.llm.common import Words, distinct_by_row, frame, map_batches, only, pieces, table, word_class
 
 INSIDE = word_class((48, 57), (97, 122), (128, 255))
 SIZE, PERCENT = 5, 80
@@ -118,7 +118,7 @@ def contained_items(docs: DataFrame, items: DataFrame, percent: int = PERCENT, b
                         own = piece.column("doc_id").to_pylist()
                         yield frame(_ARROW, *zip(*((own[d], i, n, s, s / n) for d, i, n, s in rows)))
 
-        part = docs.mapInArrow(search, SCHEMA)
+        part = map_batches(docs, search, SCHEMA)
         found = part if found is None else found.unionByName(part)
     return found
 

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from chartloom.llm.common import frame, only, pieces, table
+from chartloom.llm.common import frame, map_batches, only, pieces, table
 
 SLOTS = 1 << 16
 ORDERS = (1, 2, 3)
@@ -149,9 +149,8 @@ def train(docs: DataFrame, max_rows: int = MAX_ROWS, landmarks: int = LANDMARKS)
                     names=["_order", "doc_id", "lang", "bits"],
                 )
 
-    sample = chosen.select("_order", F.col("doc_id").cast("string").alias("doc_id"), "lang", "text").mapInArrow(
-        vectors, "_order long, doc_id string, lang string, bits binary"
-    )
+    sample = chosen.select("_order", F.col("doc_id").cast("string").alias("doc_id"), "lang", "text")
+    sample = map_batches(sample, vectors, "_order long, doc_id string, lang string, bits binary")
     taken: dict[str, int] = {}
     picked = []
     for r in sorted(sample.collect(), key=lambda r: (r[0], r.doc_id)):
@@ -185,7 +184,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
             for piece in pieces(batch, "text"):
                 yield frame(_ARROW, piece.column("doc_id"), *_predict(shared.value, piece.column("text").to_pylist()))
 
-    return only(docs, "doc_id", "text").mapInArrow(predict, "doc_id long, lang_pred string, score double")
+    return map_batches(only(docs, "doc_id", "text"), predict, "doc_id long, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame, model: LanguageModel, min_score: float) -> DataFrame:
@@ -198,7 +197,7 @@ def keep_identified(docs: DataFrame, model: LanguageModel, min_score: float) ->
                 names, scores = _predict(shared.value, piece.column("text").to_pylist())
                 yield piece.filter(pa.array([n != "und" and s >= min_score for n, s in zip(names, scores)], pa.bool_()))
 
-    return docs.mapInArrow(choose, docs.schema)
+    return map_batches(docs, choose, docs.schema)
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from chartloom.llm.common import Words, distinct_by_row, frame, mix, only, pieces, table, word_class
+from chartloom.llm.common import Words, distinct_by_row, frame, map_batches, mix, only, pieces, table, word_class
 from chartloom.llm.components import components
 from chartloom.session import cut_lineage
 
@@ -75,7 +75,7 @@ def sketches(docs: DataFrame, size: int, m: int) -> DataFrame:
                     [piece.column("doc_id"), pa.array(n), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), lists], schema=_SKETCH
                 )
 
-    return docs.mapInArrow(run, "doc_id long, n long, f1 long, f2 long, sub array<long>")
+    return map_batches(docs, run, "doc_id long, n long, f1 long, f2 long, sub array<long>")
 
 
 def table_keys(full: DataFrame, m: int) -> DataFrame:
@@ -156,7 +156,7 @@ def _verified(rows: DataFrame, size: int, percent: int) -> DataFrame:
         if out:
             yield frame(schema, *zip(*out))
 
-    return rows.repartition(F.col("task")).sortWithinPartitions("task").mapInArrow(run, "a long, b long")
+    return map_batches(rows.repartition(F.col("task")).sortWithinPartitions("task"), run, "a long, b long")
 
 
 def _tasks(members: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from chartloom.llm.common import frame, only, pieces, table
+from chartloom.llm.common import frame, map_batches, only, pieces, table
 
 KINDS = ("assign", "access", "hex")
 MAX_LAYER = 8 << 20
@@ -229,8 +229,8 @@ def scan_secrets(docs: DataFrame, max_layer: int = MAX_LAYER) -> DataFrame:
                     rows.append((doc, *(kinds.count(k) for k in range(3)), listed(base), listed(spans), layers, over))
                 yield frame(_ARROW, *zip(*rows))
 
-    return only(docs, "doc_id", "text").mapInArrow(
-        scan, "doc_id long, n_assign long, n_access long, n_hex long, base string, spans string, n_layers long, n_oversized long"
+    return map_batches(
+        only(docs, "doc_id", "text"), scan, "doc_id long, n_assign long, n_access long, n_hex long, base string, spans string, n_layers long, n_oversized long"
     )
 
 
@@ -259,7 +259,7 @@ def redact_secrets(docs: DataFrame, max_layer: int = MAX_LAYER) -> DataFrame:
                 texts = [t and redact(t, all_spans(t, max_layer)[1]) for t in piece.column(at).to_pylist()]
                 yield piece.set_column(at, batch.schema.field(at), pa.array(texts, type=batch.schema.field(at).type))
 
-    return docs.mapInArrow(replace, docs.schema)
+    return map_batches(docs, replace, docs.schema)
 
 
 def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

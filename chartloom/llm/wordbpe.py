@@ -31,11 +31,11 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from chartloom.llm.common import only, pieces, table
+from chartloom.llm.common import map_batches, only, pieces, table
 
 WORD_BPE = "word_bpe_49k.json"
-MOST_KNOWN = 400_000  # words a worker remembers; beyond that it starts afresh
-_PIECE = 1 << 20
+MOST_KNOWN = 200_000  # words a worker remembers; beyond that it starts afresh
+_PIECE = 1 << 19
 
 
 def _byte_letters() -> list[str]:
@@ -292,7 +292,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
             for piece in pieces(batch, "text", _PIECE):
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id"), _encoded(path, piece)], names=["doc_id", "ids"])
 
-    return only(docs, "doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
+    return map_batches(only(docs, "doc_id", "text"), run, "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -303,7 +303,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
             text = tokenizer(path).decode(batch.column("ids").combine_chunks() if isinstance(batch.column("ids"), pa.ChunkedArray) else batch.column("ids"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), text], names=["doc_id", "ids", "decoded"])
 
-    return only(encoded, "doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+    return map_batches(only(encoded, "doc_id", "ids"), run, "doc_id long, ids array<int>, decoded string")
 
 
 def with_ids_digest(df: DataFrame) -> DataFrame:
