@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from chartloom.llm import cotrain, covertree, decontam, langid, neardup, secrets, warc, wordbpe
+from chartloom.llm import cotrain, covertree, decontam, langid, neardup, secrets, tokenfile, warc, wordbpe
 from chartloom.llm.oracle import SQL  # noqa: F401
 
 QUERIES = {
@@ -14,6 +14,7 @@ QUERIES = {
         secrets.op6_secret_scans,
         warc.op4_warc,
         covertree.op7_exact_top_k,
+        tokenfile.op8_token_files,
         wordbpe.op9_word_bpe,
         neardup.op10_minhash_near_dedup,
     )
