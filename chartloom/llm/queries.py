@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from chartloom.llm import cotrain, covertree, decontam, langid, neardup, secrets, tokenfile, warc, wordbpe
+from chartloom.llm import cotrain, covertree, decontam, langid, neardup, secrets, suffixdedup, tokenfile, warc, wordbpe
 from chartloom.llm.oracle import SQL  # noqa: F401
 
 QUERIES = {
     f.__name__: f
     for f in (
         cotrain.op1_quality_classifier,
+        suffixdedup.op2_suffix_array_dedup,
         langid.op3_language_id,
         decontam.op5_benchmark_decontamination,
         secrets.op6_secret_scans,
