@@ -6,8 +6,8 @@ probability about ``2 * (1 - s ** ROWS) ** m``; m is chosen to keep that below `
 
 1. Documents with equal shingle sets form a class; its smallest ``doc_id`` stands for it (partial aggregate).
 2. Representatives meet in tables, keyed by combinations of sub-keys they share with others. Buckets with the same members are taken once.
-3. Buckets of at most ``TILE`` members are verified whole. Larger ones are merged where they overlap, and
-   the merged cells are cut into tiles; every pair of tiles is verified. No pair is left out, no task sees more than
+3. Buckets of at most ``SMALL`` members are verified whole. Larger ones are merged where they overlap, and
+   the merged cells are cut into tiles of about ``TILE``; every pair of tiles is verified. No pair is left out, no task sees more than
    two tiles, and no pairs are emitted: a task counts intersections of its full sets by products of their 0/1 matrices and
    returns a spanning forest of the links it found.
 4. Components of links by label propagation.
@@ -33,7 +33,7 @@ from chartloom.session import cut_lineage
 INSIDE = ~word_class((9, 13), (32, 32))
 ROWS = 3
 MISS = 4e-4
-TILE = 64
+SMALL, TILE = 64, 128
 _SKETCH = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("sub", pa.list_(pa.int64()))])
 
 
@@ -161,8 +161,8 @@ def _verified(rows: DataFrame, size: int, percent: int) -> DataFrame:
 
 def _tasks(members: DataFrame) -> DataFrame:
     """``(task, rep)`` rows that cover every pair meeting in a bucket of ``members`` (key, rep, count, leader)."""
-    small = members.filter(F.col("count") <= TILE).select(F.col("key").alias("task"), "rep")
-    large = members.filter(F.col("count") > TILE)
+    small = members.filter(F.col("count") <= SMALL).select(F.col("key").alias("task"), "rep")
+    large = members.filter(F.col("count") > SMALL)
     if large.isEmpty():
         return small
     # Members of a bucket are connected through its leader. Each names the least of its leaders, and a leader is tied to
@@ -170,7 +170,7 @@ def _tasks(members: DataFrame) -> DataFrame:
     named = cut_lineage(large.groupBy("rep").agg(F.min("leader").alias("name")))
     tied = large.join(named, "rep").select(F.col("leader").alias("a"), F.col("name").alias("b")).distinct()
     cells = components(named.select(F.col("rep").alias("a"), F.col("name").alias("b")).unionByName(tied))
-    sizes = cells.groupBy("component").agg(F.ceil(F.count("*") / F.lit(TILE // 2)).alias("tiles"))
+    sizes = cells.groupBy("component").agg(F.ceil(F.count("*") / F.lit(TILE)).alias("tiles"))
     placed = cut_lineage(cells).join(cut_lineage(sizes), "component").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")))
     # Tile t takes part in the tasks (t, u) and (u, t) for every other tile u, and in (t, t).
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))
