@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import tempfile
 import time
 
 from chartloom.catalog import QUERIES
@@ -40,6 +41,7 @@ HEADLINE = [
     "metrics_by_level",
     "svm_scores",
     "w2v_note_vectors",
+    "grid_search",
 ]
 
 
@@ -52,6 +54,9 @@ def main() -> None:
         f"local[{cpus}]",
         spark__sql__shuffle__partitions=cpus,
         spark__driver__memory="16g",
+        spark__checkpoint__dir=os.environ.get("BENCH_CHECKPOINT_DIR") or tempfile.mkdtemp(prefix="bench-"),
+        # small test files still give every core a share of their row groups
+        spark__sql__files__maxPartitionBytes="2m",
         spark__ui__enabled="false",
         spark__ui__showConsoleProgress="false",
     )

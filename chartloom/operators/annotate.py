@@ -32,7 +32,7 @@ ATTRIBUTES = ("term", "cui", "semtypes", "all")
 MAX_WORDS = 5
 TRIGRAM = 3
 BLOCK_WORDS = 256
-INDEX_ROWS_TO_BROADCAST = 500_000
+INDEX_BYTES_TO_BROADCAST = 64 << 20
 
 # A normalized text has 28 symbols. Moving blank and period next to the letters makes the code
 # of a symbol its distance from the character before "a", and a trigram 15 bits.
@@ -218,12 +218,15 @@ def match_spans(
     granularity: str = "N",
     threshold: float = 0.7,
     kind: str = "jaccard",
-    index_rows_to_broadcast: int = INDEX_ROWS_TO_BROADCAST,
+    index_bytes_to_broadcast: int = INDEX_BYTES_TO_BROADCAST,
     hot_rows: int = HOT_ROWS,
+    max_words: int = MAX_WORDS,
 ) -> DataFrame:
     """``(*note_key, unit, word_pos, n_words, span, term, cui, semtypes, similarity)``.
 
     All concepts of every span at or above the threshold; overlapping spans are all kept.
+    Spans have up to ``max_words`` words. A match has three characters at least, so shorter
+    terms never match (``dictionary_terms`` leaves them out).
     A dictionary index of checked size is broadcast, and spans never leave their task. Beyond
     that size the distinct spans are matched in a shuffled join instead, and their matches
     are joined back with frequent spans cut into parts.
@@ -232,26 +235,29 @@ def match_spans(
     terms = dictionary_terms(dictionary)
     order = trigram_order(terms)
     index = dictionary_index(terms, order, kind, threshold)
+    row_bytes = F.octet_length("term") + 4 * F.size("term_places") + 64
     # one row per key of the order, so at most one per trigram of the alphabet
     keys = (
         index.groupBy("key")
-        .agg(F.count("*").alias("rows"), F.min("size").alias("low"), F.max("size").alias("high"), F.max("rest").alias("rest"))
+        .agg(F.min("size").alias("low"), F.max("size").alias("high"), F.max("rest").alias("rest"), F.sum(row_bytes).alias("bytes"))
         .collect()
     )
     key_sizes = {k["key"]: (k["low"], k["high"], k["rest"]) for k in keys}
-    index_rows = max(sum(k["rows"] for k in keys), dictionary.count())
+    concept_bytes = F.octet_length("term") + F.octet_length("cui") + 16 * F.size("semtypes") + 64
+    index_bytes = max(sum(k["bytes"] for k in keys), dictionary.agg(F.sum(concept_bytes)).first()[0] or 0)
     units = note_units(notes, note_key, text, granularity)
     share = sim.required_share(kind, threshold)
-    found = spans(units, note_key, order, key_sizes, share, 1 if granularity == "W" else MAX_WORDS)
+    found = spans(units, note_key, order, key_sizes, share, 1 if granularity == "W" else max_words)
     concepts = dictionary.select(F.lower("term").alias("term"), "cui", F.sort_array("semtypes").alias("semtypes"))
-    if index_rows <= index_rows_to_broadcast:
+    columns = [*note_key, "unit", "word_pos", "n_words", "span", "term", "cui", "semtypes", "similarity"]
+    if index_bytes <= index_bytes_to_broadcast:
         hits = _similar_terms(found, index, kind, threshold, broadcast=True)
-        return hits.join(F.broadcast(concepts), "term")
+        return hits.join(F.broadcast(concepts), "term").select(*columns)
     distinct = found.groupBy("span").agg(F.first("places").alias("places"), F.first("keys").alias("keys"))
     similar = _similar_terms(distinct, index, kind, threshold, broadcast=False).join(concepts, "term")
     return skewed_join(
         found.drop("places", "keys"), similar, ["span"], spread_by=[*note_key, "unit", "word_pos"], hot_rows=hot_rows
-    )
+    ).select(*columns)
 
 
 def best_concepts(matches: DataFrame, note_key: Sequence[str]) -> DataFrame:

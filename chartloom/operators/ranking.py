@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -10,14 +12,14 @@ _PREFIX = 4  # hex digits: 65,536 buckets
 
 
 def hash_order(key: Column, seed: int) -> Column:
-    """Seeded, engine-independent pseudo-random order of a key."""
-    return F.md5(F.concat(F.lit(f"{seed}-"), key.cast("string")))
+    """Seeded, engine-independent pseudo-random order of a key; null comes first."""
+    return F.coalesce(F.md5(F.concat(F.lit(f"{seed}-"), key.cast("string"))), F.lit(""))
 
 
 def hash_rank(df: DataFrame, key: str, strata: Sequence[str] = (), seed: int = 1, name: str = "rank") -> DataFrame:
     """Add the 1-based position of each (distinct) key in hash order within its stratum.
 
-    Rows are ranked inside buckets named by the first hash digits, and the number of rows in
+    Null is a stratum of its own, and a null key counts as a key. Rows are ranked inside buckets named by the first hash digits, and the number of rows in
     the buckets before is added. A bucket holds 1/65,536 of a stratum, and the bucket sizes
     broadcast back are at most 65,536 rows per stratum.
     """
@@ -31,10 +33,12 @@ def hash_rank(df: DataFrame, key: str, strata: Sequence[str] = (), seed: int = 1
         .count()
         .select(*strata, "_bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_offset"))
     )
+    offsets = offsets.select(*(F.col(c).alias(f"_{c}") for c in strata), F.col("_bucket").alias("_b"), "_offset")
+    same = reduce(and_, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in strata), F.col("_bucket") == F.col("_b"))
     within = Window.partitionBy(*strata, "_bucket").orderBy("_hash", key)
     return (
         hashed.withColumn("_position", F.row_number().over(within))
-        .join(F.broadcast(offsets), [*strata, "_bucket"])
+        .join(F.broadcast(offsets), same)
         .withColumn(name, F.col("_offset") + F.col("_position"))
-        .drop("_hash", "_bucket", "_position", "_offset")
+        .drop("_hash", "_bucket", "_b", "_position", "_offset", *(f"_{c}" for c in strata))
     )

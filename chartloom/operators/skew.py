@@ -3,23 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame, functions as F
 
 HOT_ROWS = 1_000_000
-MAX_HOT_KEYS = 4096
+NULL_PARTS = 1 << 16
 
 
 def hot_keys(freq: DataFrame, on: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """The keys worth cutting and into how many parts, at most 4,096 rows whatever the input.
-
-    Keys past the 4,096 most frequent hold less than 1/4,096 of all rows each, so leaving
-    them whole is safe. Ties are broken by the key: both sides of a join see the same list.
-    """
+    """Every key above the row limit and into how many parts it is cut: at most rows / limit keys."""
     return (
         freq.filter(F.col("count") > hot_rows)
-        .orderBy(F.col("count").desc(), *on)
-        .limit(MAX_HOT_KEYS)
         .select(*on, F.ceil(F.col("count") / F.lit(float(hot_rows))).cast("int").alias("_parts"))
     )
 
@@ -40,20 +36,26 @@ def skewed_join(
     picks the part, so a re-run task sends each row to the same place. ``freq`` is an
     ``(on, count)`` table of the fact side, exact or an upper bound, for callers that can get
     it more cheaply than from the fact rows. Rows of ``dim`` are repeated once per part,
-    hence only joins that keep fact rows are allowed.
+    hence only joins that keep fact rows are allowed. Rows with a null key match nothing; they
+    are spread over many parts, so that they do not meet in one task. Whether the list of hot
+    keys is broadcast is left to Spark, which knows its size.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join type {how!r}")
     on = list(on)
     if freq is None:
         freq = fact.groupBy(*on).count()
-    hot = F.broadcast(hot_keys(freq, on, hot_rows))
+    hot = hot_keys(freq, on, hot_rows)
+    missing = reduce(or_, (F.col(c).isNull() for c in on))
     parts = F.coalesce("_parts", F.lit(1))
     left = (
         fact.join(hot, on, "left")
         .withColumn(
             "_part",
-            F.when(parts > 1, F.pmod(F.xxhash64(*spread_by), parts)).otherwise(0).cast("int"),
+            F.when(missing, F.pmod(F.xxhash64(*spread_by), F.lit(NULL_PARTS)))
+            .when(parts > 1, F.pmod(F.xxhash64(*spread_by), parts))
+            .otherwise(0)
+            .cast("int"),
         )
         .drop("_parts")
     )

@@ -34,11 +34,13 @@ def term_vectors(
     index: DataFrame | None = None,
     max_features: int = 1 << 24,
     hot_rows: int = HOT_ROWS,
+    keys: DataFrame | None = None,
 ) -> DataFrame:
     """``(key, features)``: the ``(key, term, weight)`` rows of a key as one sparse vector.
 
     Spark ML keeps a coefficient per feature on the driver, hence the explicit limit: a larger
-    vocabulary raises instead of being cut.
+    vocabulary raises instead of being cut. ``keys`` names all keys wanted: those without a row
+    get the zero vector.
     """
     index = term_index(rows) if index is None else index
     n_features = index.count()
@@ -49,5 +51,9 @@ def term_vectors(
         spread_by=[key], freq=index.select("term", "count"), hot_rows=hot_rows,
     )
     entries = coded.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("idx", "weight"))).alias("e"))
+    if keys is not None:
+        entries = keys.select(key).distinct().join(entries, key, "left")
+    none = F.array().cast(entries.schema["e"].dataType)
+    entries = entries.withColumn("e", F.coalesce("e", none))
     features = sparse_vector(F.lit(n_features), F.col("e.idx"), F.col("e.weight"))
     return entries.select(key, features.alias("features"))

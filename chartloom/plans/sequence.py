@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from chartloom.operators import metrics, splits, windows
 from chartloom.operators.vocabulary import vocabulary
+from chartloom.plans.bow import with_patient
 
 
 def prepare(
@@ -24,7 +25,7 @@ def prepare(
 
     Unlabelled notes keep a null label and weight.
     """
-    labelled = splits.attach_labels(notes.select(*note_key, text), labels, note_key)
+    labelled = splits.attach_labels(notes.select(*with_patient(note_key, text)), labels, note_key)
     marked = splits.split_column(labelled, splits.validation_patients(notes, val_frac, seed), note_key)
     named = marked.withColumn("split", F.when(F.col("split") == "test", "validation").otherwise("train"))
     totals = windows.term_totals(notes, text)

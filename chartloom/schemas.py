@@ -2,18 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
 # input column -> type it is cast to; names are matched case-insensitively
 ADMISSIONS = {"subject_id": "bigint", "hadm_id": "string", "admittime": "timestamp"}
 NOTE_IDS = {"subject_id": "bigint", "hadm_id": "string"}
 LABELS = {"subject_id": "bigint", "readm": "int"}
 TEXT_VARIANTS = ("text", "term", "cui")
-
-CONCEPTS = T.StructType(
-    [
-        T.StructField("term", T.StringType(), False),
-        T.StructField("cui", T.StringType(), False),
-        T.StructField("semtypes", T.ArrayType(T.StringType()), False),
-    ]
-)

@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 PARTITION_BYTES = 128 << 20
-MOST_PARTITIONS = 200_000
 
 
 def build_session(
@@ -33,7 +32,7 @@ def build_session(
         "spark.sql.session.timeZone": "UTC",
     }
     if shuffle_bytes is not None:
-        initial = min(MOST_PARTITIONS, max(200, -(-shuffle_bytes // PARTITION_BYTES)))
+        initial = max(200, -(-shuffle_bytes // PARTITION_BYTES))
         settings["spark.sql.adaptive.coalescePartitions.initialPartitionNum"] = str(initial)
     settings.update({k.replace("__", "."): v for k, v in conf.items()})
     for key, value in settings.items():

@@ -9,23 +9,13 @@ from chartloom.operators.labels import readmission_labels
 from chartloom.operators.vocabulary import vocabulary
 
 NOTE_KEY = ["subject_id", "hadm_id"]
-LOGIT_COLUMNS = ("subject_id", "seq_idx", "logits", "label")
+UNKNOWN_EVERY = 32
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give every core a share of a table stored in fewer files than there are cores.
-
-    A single small file is one scan task however costly the text work after it is; a large
-    table has many files and is left as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
-
-
 def admissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(
         F.col("o_custkey").alias("subject_id"),
@@ -38,21 +28,16 @@ def derived_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readmission_labels(admissions(spark, sf_dir))
 
 
-def given_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "labels").select(F.col("doc_id").alias("subject_id"), F.col("quality").alias("readm"))
-
-
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Several notes per patient: ``(subject_id, hadm_id, text, role)``."""
-    rows = table(spark, sf_dir, "conversations").select(
+    return table(spark, sf_dir, "conversations").select(
         F.col("conv_id").alias("subject_id"), F.col("turn").alias("hadm_id"), "text", "role"
     )
-    return spread(rows)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One note per patient: ``(doc_id, text)``."""
-    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
 def dictionary(spark: SparkSession, sf_dir: str, first: int = 11, n_words: int = 2) -> DataFrame:
@@ -72,9 +57,11 @@ def dictionary(spark: SparkSession, sf_dir: str, first: int = 11, n_words: int =
 
 
 def word_vectors(spark: SparkSession, sf_dir: str, term_totals: DataFrame) -> DataFrame:
-    """Vectors for as many words as there are embeddings; all other words stay unknown."""
-    ids = vocabulary(term_totals, first_id=0)
-    return ids.join(table(spark, sf_dir, "embeddings"), F.col("token_id") == F.col("vec_id")).select(
+    """A vector for every word by the remainder of its id; every 32nd word stays unknown on purpose."""
+    ids = vocabulary(term_totals, first_id=0).filter(F.col("token_id") % UNKNOWN_EVERY != 0)
+    vectors = table(spark, sf_dir, "embeddings")
+    n = vectors.agg(F.count("*")).scalar()
+    return ids.withColumn("vec_id", F.col("token_id") % n).join(vectors, "vec_id").select(
         F.col("term").alias("word"), F.col("embedding").cast("array<double>").alias("vector")
     )
 

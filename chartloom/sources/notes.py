@@ -10,14 +10,19 @@ from chartloom import schemas
 from chartloom.functions.text import append_semtypes, fill_null
 
 
-def read_table(spark: SparkSession, path: str, columns: Mapping[str, str], fmt: str = "parquet") -> DataFrame:
+def read_table(
+    spark: SparkSession, path: str, columns: Mapping[str, str], fmt: str = "parquet", multiline: bool | None = None
+) -> DataFrame:
     """Named columns cast to their declared types; nothing is inferred, the rest is pruned.
 
-    CSV follows the quoting most writers use, with quoted line breaks allowed; such a file
-    is read by one task, so large inputs should be many files or Parquet.
+    CSV follows the quoting most writers use. With ``multiline`` a field may hold line breaks, and
+    a file is then read by one task; without, a file is split. The default allows them where a
+    column of free text is read.
     """
     if fmt == "csv":
-        df = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"')
+        if multiline is None:
+            multiline = bool({*schemas.TEXT_VARIANTS, "semtypes"} & set(columns))
+        df = spark.read.csv(path, header=True, multiLine=multiline, quote='"', escape='"')
     else:
         df = spark.read.format(fmt).load(path)
     return df.select(*(F.col(name).cast(kind).alias(name) for name, kind in columns.items()))
@@ -63,24 +68,30 @@ def choose_variant(notes: DataFrame, var: str, with_semtypes: bool = False) -> D
 
 
 def number_rows(df: DataFrame, name: str = "line") -> DataFrame:
-    """File line number of every row of a plain scan, the header being line 0.
+    """File line number of every row of a plain scan, the header being line 0; files count in order of their names.
 
-    Rows keep their order inside a file split, so numbering the splits and adding the row
-    counts of the splits before is exact. One row per split is broadcast back.
+    Rows keep their order inside a file split, so numbering them within (file, offset) and adding
+    the row counts of the splits before, by file name and offset, is exact.
     """
     from pyspark.sql import Window
 
-    placed = df.withColumn("_id", F.monotonically_increasing_id()).withColumn("_split", F.shiftright("_id", 33))
-    before = Window.orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
+    split = ["_path", "_start"]
+    placed = df.select(
+        "*",
+        F.col("_metadata.file_path").alias("_path"),
+        F.col("_metadata.file_block_start").alias("_start"),
+        F.monotonically_increasing_id().alias("_id"),
+    )
+    before = Window.orderBy(*split).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        placed.groupBy("_split")
-        .count()
-        .select("_split", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_offset"))
+        placed.groupBy(*split)
+        .agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
+        .select(*split, "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     )
     return (
-        placed.join(F.broadcast(offsets), "_split")
-        .withColumn(name, F.col("_id").bitwiseAND((1 << 33) - 1) + F.col("_offset") + 1)
-        .drop("_id", "_split", "_offset")
+        placed.join(offsets, split)
+        .withColumn(name, F.col("_id") - F.col("_first") + F.col("_offset") + 1)
+        .drop(*split, "_id", "_first", "_offset")
     )
 
 

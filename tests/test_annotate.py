@@ -104,7 +104,7 @@ BROADCAST, SHUFFLED = 10**6, 0
 def test_matches_equal_brute_force(notes, dictionary, kind, threshold, granularity, bound):
     found = annotate.match_spans(
         notes, ["note"], dictionary, granularity=granularity, kind=kind, threshold=threshold,
-        index_rows_to_broadcast=bound, hot_rows=5,
+        index_bytes_to_broadcast=bound, hot_rows=5,
     )
     rows = found.collect()
     expected = brute(make_notes(), DICTIONARY, kind, threshold, granularity)
