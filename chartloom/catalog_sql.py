@@ -362,6 +362,22 @@ SQL: dict[str, str] = {
     "evaluation_report": f"WITH {_LOGITS} {_report('seqs', 'seqs')}",
     "metrics_by_level": f"""WITH {_LOGITS} {_report('seqs', 'seqs', ", 'sequence' AS level")}
         UNION ALL {_report('pool', 'seqs', ", 'patient' AS level")}""",
+    "svm_scores": f"WITH {_NOTE_HOLDOUT} SELECT subject_id, readm, true AS scored, true AS agrees FROM chosen",
+    "elastic_net_scores": f"WITH {_NOTE_HOLDOUT} SELECT subject_id, readm, true AS scored, true AS agrees FROM chosen",
+    "grid_search": """SELECT penalty, alpha::DOUBLE AS alpha, true AS valid
+        FROM (VALUES ('l2'), ('elasticnet')) p(penalty), (VALUES (1e-4), (1e-3), (1e-2), (1e-1), (1.0)) a(alpha)""",
+    "w2v_note_vectors": f"""WITH {_NOTES},
+        words AS (SELECT subject_id, hadm_id, unnest({_words(_normalize('text'))}) AS term FROM notes),
+        vocab AS (SELECT term FROM words GROUP BY term HAVING count(*) >= 5),
+        hit AS (SELECT DISTINCT subject_id, hadm_id FROM words JOIN vocab USING (term))
+        SELECT n.subject_id, n.hadm_id, h.subject_id IS NOT NULL AS known, true AS ordered
+        FROM notes n LEFT JOIN hit h ON n.subject_id = h.subject_id AND n.hadm_id = h.hadm_id""",
+    "w2v_refit": f"""WITH {_NOTES}, words AS (SELECT unnest({_words(_normalize('text'))}) AS term FROM notes)
+        SELECT term AS word, 100 AS size FROM words GROUP BY term HAVING count(*) >= 5""",
+    "w2v_search": """SELECT 100 AS size, 5 AS "window", 1e-2::DOUBLE AS rate, alpha::DOUBLE AS alpha, true AS valid
+        FROM (VALUES (1e-4), (1e-3), (1e-2)) a(alpha)""",
+    "patient_alpha_search": """SELECT 'l2' AS penalty, alpha::DOUBLE AS alpha, true AS valid
+        FROM (VALUES (0.005), (0.01), (0.02)) a(alpha)""",
     "holdout_tables": f"""WITH {_NOTE_HOLDOUT},
         n AS (SELECT *, CASE WHEN subject_id IN (SELECT subject_id FROM chosen) THEN 'test' ELSE 'train' END AS split FROM notes),
         l AS (SELECT *, CASE WHEN subject_id IN (SELECT subject_id FROM chosen) THEN 'test' ELSE 'train' END AS split FROM nlab)

@@ -101,3 +101,15 @@ def test_annotated_table(spark, corpus, tmp_path):
     stored = spark.read.csv(path, header=True)
     assert stored.columns == [*KEY, "text", "term", "cui", "semtypes", "sim_score"] and stored.count() == notes.count()
     assert annotate(notes, KEY, terms).filter("cui LIKE '%C1%'").count() > 0
+
+
+def test_plans_take_any_note_key(spark):
+    from chartloom.plans import bow, sequence
+
+    notes = spark.createDataFrame(
+        [(k, k % 4, f"word{k % 3} common text number{k}") for k in range(12)], "row_id long, subject_id long, text string"
+    )
+    labels = spark.createDataFrame([(k, k % 2) for k in range(4)], "subject_id long, readm int")
+    vectors = bow.patient_vectors(notes, ["row_id"], fit_filter=notes["row_id"] < 3)
+    assert sorted(r.subject_id for r in vectors.collect()) == [0, 1, 2, 3]  # 3 has no known term but "common text"
+    assert sequence.prepare(notes, labels, ["row_id"], seq_len=8).select("row_id").distinct().count() == 12

@@ -93,3 +93,11 @@ def test_local_sessions_may_use_a_temporary_folder(monkeypatch):
     assert shared_dir(fake("local[2]")).startswith("/tmp/run-") and shared_dir(fake("local[2]")) == shared_dir(fake("local[2]"))
     with pytest.raises(ValueError):
         shared_dir(fake("yarn"))
+
+
+def test_lines_of_several_files_follow_their_names(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("a1\na2\n")
+    (tmp_path / "b.txt").write_text("b1\nb2\nb3\nb4\nb5\n")
+    numbered = src.number_rows(spark.read.text(str(tmp_path)))
+    assert [r.value for r in numbered.orderBy("line").collect()] == ["a1", "a2", "b1", "b2", "b3", "b4", "b5"]
+    assert sorted(r.line for r in numbered.collect()) == list(range(1, 8))

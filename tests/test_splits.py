@@ -113,3 +113,15 @@ def test_hot_keys_are_cut_in_proportion(notes):
 def test_join_types_that_repeat_facts_are_refused(notes, labels):
     with pytest.raises(ValueError):
         skewed_join(notes, labels, ["subject_id"], "full", spread_by=["hadm_id"])
+
+
+def test_null_keys_and_strata_stay(spark):
+    from chartloom.operators.ranking import hash_rank
+    from chartloom.operators.skew import skewed_join
+
+    rows = spark.createDataFrame([(1, 0), (2, None), (None, 1), (None, None), (3, 0), (4, None)], "subject_id long, readm int")
+    ranked = [(r.readm, r["rank"]) for r in hash_rank(rows, "subject_id", ["readm"]).collect()]
+    assert sorted(ranked, key=str) == sorted([(0, 1), (0, 2), (None, 1), (None, 2), (None, 3), (1, 1)], key=str)
+    dim = spark.createDataFrame([(1, "a"), (None, "b")], "subject_id long, name string")
+    for how, count in (("left", 6), ("left_anti", 5), ("inner", 1), ("left_semi", 1)):
+        assert skewed_join(rows, dim, ["subject_id"], how, spread_by=["readm"], hot_rows=1).count() == count
