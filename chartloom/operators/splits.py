@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from chartloom.operators.ranking import hash_rank
 from chartloom.operators.skew import skewed_join
@@ -97,8 +97,8 @@ def stratified_folds(labels: DataFrame, n_folds: int = 5, seed: int = 1, key: st
 def class_weights(labels: DataFrame, label: str = "readm") -> DataFrame:
     """Balanced weight per class, ``n / (k * n_class)``; unlabelled rows do not count."""
     counts = labels.filter(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").alias("n"))
-    n = counts.agg(F.sum("n")).scalar()
-    k = counts.agg(F.count("*")).scalar()
+    all_classes = Window.partitionBy()  # one row per class
+    n, k = F.sum("n").over(all_classes), F.count("*").over(all_classes)
     return counts.select(label, "n", (n / (k * F.col("n")).cast("double")).alias("class_weight"))
 
 
