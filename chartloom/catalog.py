@@ -12,7 +12,7 @@ from chartloom.functions.similarity import MEASURES, similarity
 from chartloom.operators import annotate, features, metrics, models, pooling, splits, windows
 from chartloom.operators.labels import admission_counts, prevalence
 from chartloom.operators.vocabulary import vocabulary
-from chartloom.plans import bow, embedding, preprocess
+from chartloom.plans import bow, embedding, preprocess, sequence
 from chartloom.session import cut_lineage, shared_dir
 from chartloom.sources import fixtures as fx, notes as src
 
@@ -386,6 +386,13 @@ def corpus_vocabulary(spark, sf):
     return windows.corpus_vocabulary(notes, min_count=2)
 
 
+@query
+def sequence_prepare(spark, sf):
+    """Labelled windows with their split by patient and the weight of their class."""
+    rows = sequence.prepare(_clean_turns(spark, sf), fx.derived_labels(spark, sf), KEY, seq_len=SEQ_LEN)
+    return _rounded(rows.select(*KEY, "seq_idx", "split", F.col("readm").cast("double").alias("readm"), "class_weight"))
+
+
 @query
 def sequence_windows(spark, sf):
     notes = _clean_turns(spark, sf)

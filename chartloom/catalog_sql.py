@@ -345,6 +345,18 @@ SQL: dict[str, str] = {
                array_to_string(ids || list_transform(range({_SEQ} - len(ids)), lambda x: 0), ' ') AS input_ids,
                array_to_string(list_transform(ids, lambda x: 1) || list_transform(range({_SEQ} - len(ids)), lambda x: 0), ' ') AS attn_mask
         FROM real r LEFT JOIN lab ON r.subject_id = lab.subject_id""",
+    "sequence_prepare": f"""WITH {_LABELS}, {_NOTES}, {_VOCAB},
+        ids AS (SELECT DISTINCT subject_id FROM notes),
+        val AS (SELECT subject_id FROM (
+          SELECT subject_id, row_number() OVER (ORDER BY md5('1-' || subject_id), subject_id) AS r FROM ids)
+          WHERE r <= floor(0.2::DOUBLE * (SELECT count(*) FROM ids))),
+        seqs AS (SELECT subject_id, hadm_id, unnest(range(1 + ceil(greatest(len(words) - {_SEQ - 2}, 0) / {_SEQ})::BIGINT)) AS seq_idx FROM toks),
+        rows AS (SELECT s.subject_id, hadm_id, seq_idx, readm FROM seqs s LEFT JOIN lab ON s.subject_id = lab.subject_id),
+        c AS (SELECT readm, count(*) AS n FROM rows WHERE readm IS NOT NULL GROUP BY readm)
+        SELECT r.subject_id, hadm_id, seq_idx::INTEGER AS seq_idx, r.readm::DOUBLE AS readm,
+               CASE WHEN r.subject_id IN (SELECT subject_id FROM val) THEN 'validation' ELSE 'train' END AS split,
+               round((SELECT sum(n) FROM c)::DOUBLE / ((SELECT count(*) FROM c) * c.n), 6) AS class_weight
+        FROM rows r LEFT JOIN c ON r.readm = c.readm""",
     "predicted_classes": f"WITH {_LOGITS} SELECT subject_id, seq_idx, (l1 > l0)::INTEGER AS prediction FROM seqs",
     "pool_scores": f"""WITH {_LOGITS} SELECT subject_id, n_sequences, label, round(l0, 6) AS logit0, round(l1, 6) AS logit1,
         (l1 > l0)::INTEGER AS prediction FROM pool""",
