@@ -41,7 +41,6 @@ HEADLINE = [
     "metrics_by_level",
     "svm_scores",
     "w2v_note_vectors",
-    "grid_search",
 ]
 
 

@@ -479,7 +479,7 @@ def _bow_rows(spark, sf):
     notes = _clean_turns(spark, sf)
     chosen = cut_lineage(splits.holdout_patients(splits.labels_with_notes(labels, notes)))
     vectors = bow.patient_vectors(notes, KEY)
-    return cut_lineage(vectors.join(splits.split_column(labels, chosen, ["subject_id"]), "subject_id"))
+    return models.compact(cut_lineage(vectors.join(splits.split_column(labels, chosen, ["subject_id"]), "subject_id")))
 
 
 def _scores(spark, sf, estimator):
