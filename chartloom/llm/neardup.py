@@ -82,11 +82,12 @@ def table_keys(full: DataFrame, m: int) -> DataFrame:
     """``(rep, key)`` in every table where the representative may meet another.
 
     A key combines a sub-key of the first collection with one of the second, so two sets meet in a table only
-    where both sub-keys are equal. Sub-keys that no one shares are left out before any are combined.
+    where both sub-keys are equal. Sub-keys that no two representatives share are left out before any are combined.
+    A key holds a representative once, however many rows repeat it: buckets are told apart by the xor of their members.
     """
     subs = full.select(F.col("doc_id").alias("rep"), F.posexplode("sub").alias("slot", "value")).withColumn("sub", F.xxhash64("slot", "value"))
-    shared = cut_lineage(subs.groupBy("sub").agg(F.count("*").alias("n")).filter("n > 1").select("sub"))
-    own = subs.join(shared, "sub").groupBy("rep").agg(F.collect_list(F.when(F.col("slot") < m, F.col("sub"))).alias("a"), F.collect_list(F.when(F.col("slot") >= m, F.col("sub"))).alias("b"))
+    shared = cut_lineage(subs.groupBy("sub").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low < high").select("sub"))
+    own = subs.join(shared, "sub").groupBy("rep").agg(F.collect_set(F.when(F.col("slot") < m, F.col("sub"))).alias("a"), F.collect_set(F.when(F.col("slot") >= m, F.col("sub"))).alias("b"))
     return own.select("rep", "b", F.explode("a").alias("x")).select("rep", "x", F.explode("b").alias("y")).select("rep", F.xxhash64("x", "y").alias("key"))
 
 

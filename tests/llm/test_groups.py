@@ -67,6 +67,20 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, tile):
     assert got == brute_components(rows, 3, 85)
 
 
+@pytest.mark.parametrize("again", [lambda k: 1, lambda k: k > 0])
+def test_near_duplicates_of_repeated_rows(spark, again):
+    rows = near_rows(5, 40, 3, 4)
+    first = {}
+    for d, _ in sorted(rows):
+        first[d] = d // 3 % 3  # place in its family
+    frame = docs(spark, rows + [r for r in rows if again(first[r[0]])])
+    got = {r.doc_id: tuple(r)[1:] for r in neardup.near_duplicates(frame, size=3, percent=85).collect()}
+    assert got == brute_components(rows, 3, 85)
+    m = neardup.collections_for(85)
+    keys = neardup.table_keys(neardup.sketches(frame.select("doc_id", "text"), 3, m).filter("n > 0"), m)
+    assert keys.count() == keys.distinct().count() > 0
+
+
 def test_near_duplicate_edges(spark):
     frame = with_clashes(docs(spark, odd_rows()))
     got = sorted(tuple(r) for r in neardup.near_duplicates(frame).collect())
