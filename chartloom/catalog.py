@@ -535,8 +535,7 @@ def w2v_refit(spark, sf):
 @query
 def w2v_search(spark, sf):
     notes, labels = fx.turns(spark, sf), fx.derived_labels(spark, sf)
-    # One of the 18 embeddings with all classifier strengths: the whole grid trains 90 embeddings.
-    _, found = embedding.search(notes, labels, KEY, grid=embedding.embedding_grid([100], [5], [1e-2]))
+    _, found = embedding.search(notes, labels, KEY)
     rows = spark.createDataFrame(found, "size int, window int, rate double, alpha double, auroc double")
     return rows.select("size", "window", "rate", "alpha", _valid())
 
