@@ -2,12 +2,14 @@
 
 Text view: shares of pairs of neighbouring character classes, hashed word shares, repetition. Metadata view: hashed source
 and language, length class, which of them are missing. Each view is a logistic regression.
-In every round each view labels the pool of unlabelled rows it is most sure of, in the ratio of the classes, and hands
-them to the other view as training rows. In the end each view is calibrated on labelled rows kept
+In every round each view labels the unlabelled rows it is most sure of, and hands them to the other view as training rows: of
+all free rows it is ``sure`` of, the surest 1 / (rounds left) of each class, so the last round hands over every such row. The views then learn by
+Newton steps on gradients and curvature summed over the whole table. In the end each view is calibrated on labelled rows kept
 apart, and the two are combined as independent evidence: their log odds add up, less the prior's.
 
-The model is fitted on a bounded sample, in hash order of ``doc_id``: about ``max_labelled`` labelled and
-``max_pool`` unlabelled rows. Rows whose crc32 is a multiple of ``FOLDS`` are never used for fitting (held out). Scoring covers all rows.
+Every unlabelled row takes part, whatever the size of the table. Only the labels are a bounded sample, in hash order of ``doc_id``: about
+``max_labelled``; rows with other labels count as unlabelled. Labelled rows whose crc32 is a multiple of ``FOLDS`` are never used for fitting
+(held out). Scoring covers all rows.
 
 Cases: null text, source, language or length are values of their own; null labels are unlabelled. Repeated labels of a document: the
 lowest counts. With no label, or one class only, every row gets that prior (0.5 without labels). An empty table gives an empty
@@ -16,7 +18,7 @@ result. Whole texts are read. Other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,8 +27,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from chartloom.llm.common import Words, frame, map_batches, mix, only, pieces, table, utf8, word_class
+from chartloom.session import cut_lineage
 
-MAX_LABELLED, MAX_POOL, ROUNDS, PER_ROUND, SURE = 4000, 6000, 5, 200, 0.95
+MAX_LABELLED, ROUNDS, SURE, STEPS, PARTS = 4000, 5, 0.95, 2, 8
 FOLDS, CALIBRATION = 5, 1
 WORD_SLOTS, META_SLOTS = 256, 64
 THRESHOLD = 0.5
@@ -142,8 +145,11 @@ class View:
     def margin(self, x: np.ndarray) -> np.ndarray:
         return x.astype(np.float64) @ self.weights[:-1] + self.weights[-1]
 
+    def odds(self, x: np.ndarray) -> np.ndarray:
+        return self.slope * self.margin(x) + self.offset
+
     def probability(self, x: np.ndarray) -> np.ndarray:
-        return _sigmoid(self.slope * self.margin(x) + self.offset)
+        return _sigmoid(self.odds(x))
 
 
 @dataclass
@@ -161,47 +167,128 @@ class CoTrained:
         return a, b, _sigmoid(_logit(a) + _logit(b) - _logit(self.prior))
 
 
-def co_train(text: np.ndarray, meta: np.ndarray, label: np.ndarray, fold: np.ndarray, rounds: int = ROUNDS, per_round: int = PER_ROUND, sure: float = SURE) -> CoTrained:
-    """``label`` is 0, 1 or -1 (unlabelled); labelled rows of fold ``CALIBRATION`` only calibrate."""
-    views = (text, meta)
-    train, held = (label >= 0) & (fold != CALIBRATION), (label >= 0) & (fold == CALIBRATION)
+RIDGE = 1e-4
+#: Log odds from which rows count as sure are told apart in so many steps up to ``_TOP``.
+_BINS, _TOP = 2048, 40.0
+Rows = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]  # text, meta, label (0, 1, -1), fold
+Round = tuple[tuple[View, View], np.ndarray]  # models, and the log odds from which view v handed over class c
+
+
+def handed_labels(rows: Rows, rounds: list[Round]) -> np.ndarray:
+    """What each view was handed by the other in these rounds: 0, 1 or -1, as (view, row)."""
+    free = rows[2] < 0
+    got = np.full((2, len(free)), -1)
+    for models, cuts in rounds:
+        for v in (0, 1):
+            odds = models[v].odds(rows[v])
+            for value, belief in ((1, odds), (0, -odds)):
+                got[1 - v][free & (got[1 - v] < 0) & (belief >= cuts[v, value])] = value
+    return got
+
+
+def sure_counts(rows: Rows, rounds: list[Round], models: tuple[View, View], sure: float) -> np.ndarray:
+    """Free rows each view is sure of, by view, class and step of log odds."""
+    got, low = handed_labels(rows, rounds), float(_logit(sure))
+    out = np.zeros((2, 2, _BINS))
+    for v in (0, 1):
+        odds = models[v].odds(rows[v])
+        free = (rows[2] < 0) & (got[1 - v] < 0)
+        for value, belief in ((1, odds), (0, -odds)):
+            belief = belief[free & (belief >= low)]
+            out[v, value] = np.bincount(np.minimum((belief - low) / (_TOP - low) * _BINS, _BINS - 1).astype(int), minlength=_BINS)
+    return out.reshape(-1)
+
+
+def learning_rows(rows: Rows, rounds: list[Round], v: int) -> np.ndarray:
+    """The label view ``v`` learns each row by, or -1."""
+    return np.where((rows[2] >= 0) & (rows[3] != CALIBRATION), rows[2], handed_labels(rows, rounds)[v])
+
+
+def class_counts(rows: Rows, rounds: list[Round]) -> np.ndarray:
+    return np.array([float((learning_rows(rows, rounds, v) == c).sum()) for v in (0, 1) for c in (0, 1)])
+
+
+def slopes(rows: Rows, rounds: list[Round], weights: list[np.ndarray], count: np.ndarray) -> np.ndarray:
+    """Loss, gradient and curvature of both views at ``weights``; the classes weigh alike."""
+    out = []
+    for v in (0, 1):
+        y = learning_rows(rows, rounds, v)
+        use = y >= 0
+        y = y[use].astype(np.float64)
+        x = np.concatenate([rows[v][use], np.ones((len(y), 1), np.float32)], axis=1)
+        share = np.where(y > 0, 0.5 / max(count[v, 1], 1), 0.5 / max(count[v, 0], 1))
+        z = x @ weights[v].astype(np.float32)
+        p = _sigmoid(z.astype(np.float64))
+        bend = (x * (share * p * (1 - p)).astype(np.float32)[:, None]).T @ x
+        loss = (share * np.logaddexp(0, np.where(y > 0, -z, z))).sum()
+        out += [[loss], x.T.astype(np.float64) @ (share * (p - y)), bend.reshape(-1)]
+    return np.concatenate(out)
+
+
+def newton(total: Callable, rounds: list[Round], start: list[np.ndarray], steps: int = STEPS) -> list[np.ndarray]:
+    """Weights of both views, from ``start``; a step that raised the loss is cut to a quarter."""
+    count = total(class_counts, rounds).reshape(2, 2)
+    now = [w.copy() for w in start]
+    best: list[tuple[float, np.ndarray] | None] = [None, None]
+    for _ in range(steps):
+        sums, at = total(slopes, rounds, now, count), 0
+        for v in (0, 1):
+            d = len(now[v])
+            loss, slope, bend = sums[at], sums[at + 1 : at + 1 + d], sums[at + 1 + d : at + 1 + d + d * d].reshape(d, d)
+            at += 1 + d + d * d
+            loss += RIDGE / 2 * float(now[v] @ now[v])
+            if best[v] and loss > best[v][0]:
+                now[v] = best[v][1] + (now[v] - best[v][1]) / 4
+                continue
+            best[v] = (loss, now[v])
+            now[v] = now[v] - np.linalg.solve((bend + bend.T) / 2 + RIDGE * np.eye(d), slope + RIDGE * now[v])
+    return now
+
+
+def co_train_over(total: Callable, known: Rows, rounds: int = ROUNDS, sure: float = SURE) -> CoTrained:
+    """``known``: the labelled rows. ``total(work, *args)`` is the sum of ``work(rows, *args)`` over all parts of the table."""
+    label, fold = known[2], known[3]
+    train, held = fold != CALIBRATION, fold == CALIBRATION
     if not held.any() or len(set(label[held])) < 2:
         held = train
-    known = label[label >= 0]
-    if not len(known):
+    if not len(label):
         return CoTrained(None, None, 0.5)
-    prior = float(known.mean())
+    prior = float(label.mean())
     if len(set(label[train])) < 2:
         return CoTrained(None, None, prior)
-    own = [np.where(train, label, -1), np.where(train, label, -1)]  # what each view learns from
-    models: list[View] = [None, None]  # type: ignore[list-item]
-
-    def learn(v: int) -> None:
-        rows = own[v] >= 0
-        w = logistic(views[v][rows], own[v][rows].astype(np.float32), models[v].weights if models[v] else None)
-        m = View(w, 1.0, 0.0)
-        m.slope, m.offset = calibration(m.margin(views[v][held]), label[held])
-        models[v] = m
-
-    handed = 0
-    for _ in range(rounds):
-        learn(0), learn(1)
-        given = 0
-        for v in (0, 1):
-            p, other = models[v].probability(views[v]), own[1 - v]
-            free = (label < 0) & (other < 0)
-            for value, belief, quota in ((1, p, prior), (0, 1 - p, 1 - prior)):
-                rows = np.flatnonzero(free & (belief >= sure))
-                rows = rows[np.argsort(-belief[rows], kind="stable")][: max(1, round(per_round * quota))]
-                other[rows] = value
-                given += len(rows)
-        handed += given
-        if not given:
+
+    def calibrated(weights: list[np.ndarray]) -> tuple[View, View]:
+        made = [View(w, 1.0, 0.0) for w in weights]
+        for v, m in enumerate(made):
+            m.slope, m.offset = calibration(m.margin(known[v][held]), label[held])
+        return made[0], made[1]
+
+    # Before anything is handed over, the views learn from the labelled rows alone.
+    models = calibrated([logistic(known[v][train], label[train].astype(np.float32)) for v in (0, 1)])
+    done: list[Round] = []
+    handed, low = 0, float(_logit(sure))
+    for k in range(rounds):
+        count = total(sure_counts, done, models, sure).reshape(2, 2, _BINS)
+        cuts = np.full((2, 2), np.inf)
+        for v, value in np.ndindex(2, 2):
+            above = np.cumsum(count[v, value][::-1])[::-1]
+            if above[0]:
+                step = np.flatnonzero(above >= above[0] / (rounds - k))[-1]
+                cuts[v, value] = low + step * (_TOP - low) / _BINS
+                handed += int(above[step])
+        if np.isinf(cuts).all():
             break
-    learn(0), learn(1)
+        done.append((models, cuts))
+        models = calibrated(newton(total, done, [m.weights for m in models]))
     return CoTrained(models[0], models[1], prior, handed)
 
 
+def co_train(text: np.ndarray, meta: np.ndarray, label: np.ndarray, fold: np.ndarray, rounds: int = ROUNDS, sure: float = SURE) -> CoTrained:
+    """``label`` is 0, 1 or -1 (unlabelled); labelled rows of fold ``CALIBRATION`` only calibrate."""
+    rows, known = (text, meta, label, fold), label >= 0
+    return co_train_over(lambda work, *args: work(rows, *args), (text[known], meta[known], label[known], fold[known]), rounds, sure)
+
+
 # -- on Spark
 
 
@@ -216,30 +303,65 @@ def _views(piece: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return text_features(piece.column("text")), meta_features(*(piece.column(c).to_pylist() for c in ("source", "lang", "n_chars")))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_pool: int = MAX_POOL) -> CoTrained:
-    """Fit on the bounded sample; feature vectors are worked out by the executors."""
+def _rows(batch: pa.RecordBatch | pa.Table) -> Rows:
+    view = lambda name, dim: np.frombuffer(b"".join(batch.column(name).to_pylist()), np.float16).reshape(-1, dim).astype(np.float32)
+    return view("text", TEXT_DIM), view("meta", META_DIM), np.array(batch.column("label"), np.int64), np.array(batch.column("fold"), np.int64)
+
+
+def feature_table(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
+    """``label, fold, text, meta`` of every row but the labelled ones held out; label -1: unlabelled. Stored, as every round reads it."""
     docs, labels = only(docs, *_COLUMNS), only(labels, "doc_id", "quality").filter("quality IN (0, 1)")
-    order = lambda: F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 30))
-    n_labelled, n_docs = labels.count(), docs.count()
-    share = [min(1.0, most / max(n, 1)) for most, n in ((max_labelled, n_labelled), (max_pool, n_docs))]
-    limit = [int(s * (1 << 30)) for s in share]
-    some = docs.filter((order() < max(limit)) & (_fold(F.col("doc_id")) != 0))
-    known = labels.filter(order() < limit[0]).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    sample = some.join(known, "doc_id", "left").filter(F.col("quality").isNotNull() | (order() < limit[1]))
+    limit = int(min(1.0, max_labelled / max(labels.count(), 1)) * (1 << 30))
+    chosen = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 30)) < limit
+    known = labels.groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality")).withColumn("label", F.when(chosen, F.col("quality")).otherwise(-1))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces(batch, "text"):
-                text, meta = _views(piece)
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column("doc_id"), pc.fill_null(piece.column("quality"), -1), piece.column("fold"), *(pa.array([r.tobytes() for r in m], pa.binary()) for m in (text, meta))],
-                    names=["doc_id", "label", "fold", "text", "meta"],
+                    [piece.column("doc_id"), *(pa.array([r.tobytes() for r in m.astype(np.float16)], pa.binary()) for m in _views(piece))],
+                    names=["doc_id", "text", "meta"],
                 )
 
-    sample = sample.withColumns({"quality": F.col("quality").cast("int"), "fold": _fold(F.col("doc_id"))})
-    got = map_batches(sample, vectors, "doc_id long, label int, fold int, text binary, meta binary").toArrow().sort_by("doc_id")
-    view = lambda name, dim: np.frombuffer(b"".join(got.column(name).to_pylist()), np.float32).reshape(-1, dim)
-    return co_train(view("text", TEXT_DIM), view("meta", META_DIM), np.array(got.column("label")), np.array(got.column("fold")))
+    made = map_batches(docs, vectors, "doc_id long, text binary, meta binary").join(known, "doc_id", "left")
+    fold = F.coalesce(_fold(F.col("doc_id")), F.lit(-1))
+    return cut_lineage(made.filter(F.col("quality").isNull() | (fold != 0)).select(F.coalesce("label", F.lit(-1)).alias("label"), fold.alias("fold"), "text", "meta"))
+
+
+def totals(stored: DataFrame) -> Callable:
+    """``total`` of ``co_train_over`` on Spark: a sum per task, then ``PARTS`` sums of those, then one on the driver."""
+
+    def total(work: Callable, *args) -> np.ndarray:
+        shared = stored.sparkSession.sparkContext.broadcast(args)
+
+        def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found = None
+            for batch in batches:
+                for k in range(0, batch.num_rows, 2048):
+                    one = work(_rows(batch.slice(k, 2048)), *shared.value)
+                    found = one if found is None else found + one
+            if found is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([found.tobytes()], pa.binary())], names=["part"])
+
+        def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found = None
+            for batch in batches:
+                for one in batch.column("part"):
+                    one = np.frombuffer(one.as_py(), np.float64)
+                    found = one if found is None else found + one
+            if found is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([found.tobytes()], pa.binary())], names=["part"])
+
+        sums = map_batches(map_batches(stored, part, "part binary").repartition(PARTS), added, "part binary").toArrow()
+        return np.sum([np.frombuffer(one, np.float64) for one in sums.column("part").to_pylist()], axis=0)
+
+    return total
+
+
+def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> CoTrained:
+    """Fit on all rows and a bounded sample of labels; only labelled rows and sums reach the driver."""
+    stored = feature_table(docs, labels, max_labelled)
+    return co_train_over(totals(stored), _rows(stored.filter("label >= 0").toArrow()))
 
 
 _ARROW = pa.schema([("doc_id", pa.int64()), *((c, pa.float64()) for c in ("text_score", "meta_score", "score")), ("keep", pa.bool_())])

@@ -220,6 +220,23 @@ def test_co_training_learns_from_its_other_view():
     assert model.handed > 100 and right(both) >= max(right(a), right(b)) - 0.005 and right(both) > 0.97
 
 
+def test_every_unlabelled_row_takes_part(spark):
+    rng = np.random.default_rng(6)
+    n = 20_000  # the former pool held 6,000 rows, the former rounds handed over 2,000 labels at most
+    truth = rng.integers(0, 2, n)
+    text = (truth[:, None] * 2 - 1 + rng.normal(size=(n, 4)) * 0.5).astype(np.float32)
+    model = cotrain.co_train(text, text[:, :3], np.where(np.arange(n) < 600, truth, -1), np.arange(n) % 5)
+    assert model.handed > n  # by two views
+    rows = odd_rows() + [(k, PLAIN if k % 2 else "BAD!! " * 30, None) for k in range(30, 500)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(30, 400)], "doc_id long, quality int")
+    stored = cotrain.feature_table(docs(spark, rows), labels)
+    held = sum(zlib.crc32(str(k).encode()) % 5 == 0 for k in range(30, 400))
+    assert stored.count() == len(rows) - held and stored.filter("label >= 0").count() == 370 - held
+    parts = cotrain._rows(stored.toArrow())
+    here, there = cotrain.co_train(*parts), cotrain.train(docs(spark, rows), labels)
+    assert here.handed == there.handed > 0 and np.allclose(here.text.weights, there.text.weights, atol=1e-2)
+
+
 def test_quality_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.01"
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
