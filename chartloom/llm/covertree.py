@@ -180,7 +180,9 @@ def packed(rows: DataFrame, dim: int, k: int, block_rows: int = BLOCK_ROWS) -> D
         ids, parts = [], []
 
         def block() -> pa.RecordBatch:
-            x, i = _few_copies(np.concatenate(parts), np.concatenate(ids), k + 1)
+            i = np.concatenate(ids)
+            # A query leaves out its own rows: as many as share one id here.
+            x, i = _few_copies(np.concatenate(parts), i, k + int(np.unique(i, return_counts=True)[1].max()))
             return pa.RecordBatch.from_arrays([pa.array([i.tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary())], names=["ids", "data"])
 
         for batch in batches:
@@ -198,7 +200,10 @@ def packed(rows: DataFrame, dim: int, k: int, block_rows: int = BLOCK_ROWS) -> D
 
 
 def top_k(queries: DataFrame, vectors: DataFrame, k: int, scale: int = 256, query_rows: int = QUERY_ROWS) -> DataFrame:
-    """``query_id, rank, vec_id, score``: the k highest inner products of every query with all vectors but its own."""
+    """``query_id, rank, vec_id, score``: the k highest inner products of every query with all vectors but its own.
+
+    Every row is a vector: rows that repeat a ``vec_id`` take a rank each, and a query leaves out all rows of its id.
+    """
     spark = vectors.sparkSession
     rows, asked = scaled(vectors, scale), scaled(queries, scale).filter(F.col("vec_id").isNotNull()).dropDuplicates(["vec_id"])
     size = F.max(F.size("v"))

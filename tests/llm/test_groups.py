@@ -183,6 +183,14 @@ def test_top_k_equals_brute_force(spark, monkeypatch, block):
     assert covertree.top_k(frame.limit(0), frame.limit(0), 5).count() == 0
 
 
+def test_top_k_of_repeated_rows(spark):
+    same = [(i, [0.5, 1.0]) for i in (1, 2, 3, 4)]
+    rows = (same + [(9, [0.25, 0.25])]) * 2
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1)
+    got = sorted(tuple(r) for r in covertree.top_k(frame.filter("vec_id = 1"), frame, 5).collect())
+    assert [(g[1], g[2]) for g in got] == [(1, 2), (2, 2), (3, 3), (4, 3), (5, 4)] and len({g[3] for g in got}) == 1
+
+
 def test_cover_tree_keeps_its_invariants_and_prunes():
     rng = np.random.default_rng(1)
     centres = rng.normal(size=(30, 3)) * 50
