@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 PIECE_BYTES = 1 << 19
 BATCH_BYTES = 4 << 20
@@ -19,8 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def only(df: DataFrame, *columns: str) -> DataFrame:
-    """Exactly these columns, so that extra ones with any name do no harm."""
-    return df.select(*(df[c] for c in columns))
+    """Exactly these columns, by exact name first, so that extra ones do no harm, also where names differ in case only."""
+    names = df.columns
+    places = [names.index(c) if c in names else [n.lower() for n in names].index(c.lower()) for c in columns]
+    df = df.toDF(*(f"_{k}" for k in range(len(names))))
+    return df.select(*(F.col(f"_{k}").alias(c) for k, c in zip(places, columns)))
 
 
 def map_batches(df: DataFrame, function, schema) -> DataFrame:

@@ -72,3 +72,18 @@ FROM f
 """
 
 SQL["op4_warc"] = OP4
+
+OP13 = """
+WITH r(verdict, host, path) AS (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')),
+u AS (
+    SELECT row_number() OVER () AS row, page_id,
+        translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+        regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path
+    FROM pages
+)
+SELECT u.page_id, u.host, u.path, r.host || r.path AS rule, coalesce(r.verdict, 'allow') AS verdict
+FROM u LEFT JOIN r ON (u.host = r.host OR ends_with(u.host, '.' || r.host)) AND starts_with(u.path, r.path)
+QUALIFY row_number() OVER (PARTITION BY u.row ORDER BY length(r.host || r.path) DESC NULLS LAST) = 1
+"""
+
+SQL["op13_url_filters"] = OP13
