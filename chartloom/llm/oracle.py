@@ -87,3 +87,24 @@ QUALIFY row_number() OVER (PARTITION BY u.row ORDER BY length(r.host || r.path)
 """
 
 SQL["op13_url_filters"] = OP13
+
+_TERMS = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+
+OP11 = f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, {_TERMS} AS t FROM documents WHERE text IS NOT NULL),
+own AS (SELECT row, doc_id, t, CAST(len(t) AS BIGINT) AS n FROM d WHERE len(t) > 0),
+s AS (SELECT count(*) AS N_docs, CAST(sum(n) AS BIGINT) AS L FROM own),
+q AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark WHERE text IS NOT NULL),
+x AS (SELECT row, unnest(t) AS term FROM own),
+tf AS (SELECT row, term, count(*) AS tf FROM x WHERE term IN (SELECT term FROM q) GROUP BY row, term),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * (SELECT N_docs FROM s) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf GROUP BY term),
+m AS (SELECT row, doc_id, 10 + (90 * n * N_docs) // L AS m FROM own, s),
+score AS (
+    SELECT item_id, row, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+    FROM q JOIN tf USING (term) JOIN w USING (term) JOIN m USING (row) GROUP BY item_id, row, doc_id
+)
+SELECT item_id, CAST(row_number() OVER o AS INTEGER) AS rank, doc_id, score FROM score WHERE score > 0
+WINDOW o AS (PARTITION BY item_id ORDER BY score DESC, doc_id) QUALIFY row_number() OVER o <= 10
+"""
+
+SQL["op11_ranked_search"] = OP11

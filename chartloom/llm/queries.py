@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from chartloom.llm import cotrain, covertree, decontam, langid, neardup, secrets, suffixdedup, tokenfile, urlfilter, warc, wordbpe
+from chartloom.llm import cotrain, covertree, decontam, langid, lexical, neardup, secrets, suffixdedup, tokenfile, urlfilter, warc, wordbpe
 from chartloom.llm.oracle import SQL  # noqa: F401
 
 QUERIES = {
@@ -18,6 +18,7 @@ QUERIES = {
         tokenfile.op8_token_files,
         wordbpe.op9_word_bpe,
         neardup.op10_minhash_near_dedup,
+        lexical.op11_ranked_search,
         urlfilter.op13_url_filters,
     )
 }
