@@ -220,6 +220,7 @@ def search(docs: DataFrame, items: DataFrame, k: int = 10, block_bytes: int = IT
         ranked = Window.partitionBy("item").orderBy(F.col("score").desc(), "leader")
         top = best_classes(classes, shared, weight, len(ids), k).withColumn("place", F.row_number().over(ranked)).filter(F.col("place") <= k)
         top = cut_lineage(top.drop("place"))
+        shared.destroy()
         # At most k classes an item are expanded; their keys are a few bytes each.
         wanted = F.broadcast(top.select("hash", "m").distinct())
         by_id = Window.partitionBy("hash", "m", "bag").orderBy(F.col("doc_id").asc_nulls_last())

@@ -108,3 +108,24 @@ WINDOW o AS (PARTITION BY item_id ORDER BY score DESC, doc_id) QUALIFY row_numbe
 """
 
 SQL["op11_ranked_search"] = OP11
+
+OP12 = """
+WITH v AS (
+    SELECT row_number() OVER () AS row, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+        list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND NOT list_bool_or(list_transform(embedding, lambda x: x IS NULL OR NOT isfinite(x)))
+),
+s AS (
+    SELECT a.vec_id AS anchor_id, a.label = b.label AS same, b.row, b.vec_id, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+    FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0
+),
+p AS (
+    SELECT anchor_id, row, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER o AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+WINDOW o AS (PARTITION BY p.anchor_id, p.row ORDER BY score DESC, vec_id) QUALIFY row_number() OVER o <= 5
+"""
+
+SQL["op12_hard_negatives"] = OP12

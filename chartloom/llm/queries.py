@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from chartloom.llm import cotrain, covertree, decontam, langid, lexical, neardup, secrets, suffixdedup, tokenfile, urlfilter, warc, wordbpe
+from chartloom.llm import cotrain, covertree, decontam, hardneg, langid, lexical, neardup, secrets, suffixdedup, tokenfile, urlfilter, warc, wordbpe
 from chartloom.llm.oracle import SQL  # noqa: F401
 
 QUERIES = {
@@ -19,6 +19,7 @@ QUERIES = {
         wordbpe.op9_word_bpe,
         neardup.op10_minhash_near_dedup,
         lexical.op11_ranked_search,
+        hardneg.op12_hard_negatives,
         urlfilter.op13_url_filters,
     )
 }
