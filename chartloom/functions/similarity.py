@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, functions as F
 
 MEASURES = ("jaccard", "dice", "cosine", "overlap")
@@ -49,3 +51,32 @@ def required_overlap(kind: str, threshold: float, size: Column) -> Column:
 
 def prefix_length(kind: str, threshold: float, size: Column) -> Column:
     return size - required_overlap(kind, threshold, size) + 1
+
+
+def least_shared(kind: str, threshold: float, a: int, b: np.ndarray) -> np.ndarray:
+    """Least number of common elements, at least 1, that brings sets of sizes ``a`` and ``b`` to the threshold."""
+    shared = {
+        "jaccard": threshold * (a + b) / (1 + threshold),
+        "dice": threshold * (a + b) / 2,
+        "cosine": threshold * np.sqrt(a * b),
+        "overlap": threshold * np.minimum(a, b),
+    }[kind]
+    return np.maximum(1, np.ceil(shared - _SLACK)).astype(np.int64)
+
+
+def _class_ratio(kind: str, threshold: float) -> float:
+    """Sizes of one class differ by at most this factor: 1 / share, at least 1.25, and 2 where the measure sets no limit."""
+    share = required_share(kind, threshold)
+    return max(1.25, min(2.0, 1 / share)) if share else 2.0
+
+
+def size_class(kind: str, threshold: float, size: Column) -> Column:
+    return F.floor(F.log(size.cast("double")) / F.lit(math.log(_class_ratio(kind, threshold))) + F.lit(_SLACK)).cast("int")
+
+
+def class_range(kind: str, threshold: float, size: Column) -> tuple[Column, Column]:
+    """The lowest and highest class that holds sizes which a set of ``size`` can match."""
+    share = required_share(kind, threshold)
+    if not share:
+        return F.lit(0), F.lit(64)
+    return size_class(kind, threshold, F.greatest(F.lit(1.0), size * share - _SLACK)), size_class(kind, threshold, size / share + _SLACK)

@@ -10,7 +10,8 @@ all four measures, so no candidate is capped or sampled.
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -24,8 +25,9 @@ from chartloom.functions.text import (
     spaced_string,
     word_tokens,
 )
-from chartloom.operators.span_filter import span_filter
-from chartloom.operators.skew import HOT_ROWS, skewed_join
+from chartloom.operators.span_filter import KeyBounds, key_bounds, span_filter
+from chartloom.operators.skew import HOT_ROWS, grid_join, skewed_join
+from chartloom.session import cut_lineage
 
 GRANULARITIES = ("N", "S", "W")
 ATTRIBUTES = ("term", "cui", "semtypes", "all")
@@ -122,6 +124,41 @@ def dictionary_index(terms: DataFrame, order: Sequence[int], kind: str, threshol
     ).select("key", (F.size("term_places") - F.col("at")).alias("rest"), "term", "size", "term_places")
 
 
+@dataclass
+class StoredDictionary:
+    """A dictionary prepared for one measure and threshold; its tables lie in the shared folder.
+
+    ``concepts`` holds ``(term, cui, semtypes)``, ``index`` the prefix index with the size class of each term, ``order`` the global order of
+    trigrams, ``bounds`` what each place of it allows. ``index_bytes`` is the size of the larger table.
+    """
+
+    kind: str
+    threshold: float
+    concepts: DataFrame
+    index: DataFrame
+    order: list[int]
+    bounds: KeyBounds
+    index_bytes: int
+
+
+def store_dictionary(dictionary: DataFrame, kind: str = "jaccard", threshold: float = 0.7) -> StoredDictionary:
+    """Derive the dictionary's tables once, for any number of notes tables.
+
+    The driver sees one count per trigram of the alphabet and one row per (trigram, size of terms), sizes above the filter's limit put together.
+    """
+    sim.check_measure(kind, threshold)
+    concepts = cut_lineage(dictionary.select(F.lower("term").alias("term"), "cui", F.sort_array("semtypes").alias("semtypes")))
+    terms = dictionary_terms(concepts)
+    order = trigram_order(terms)
+    index = cut_lineage(dictionary_index(terms, order, kind, threshold).withColumn("size_class", sim.size_class(kind, threshold, F.col("size"))))
+    row_bytes = F.octet_length("term") + 4 * F.size("term_places") + 64
+    found = index.groupBy("key", "size").agg(F.max("rest").alias("rest"), F.sum(row_bytes).alias("bytes")).toArrow()
+    concept_bytes = F.octet_length("term") + F.octet_length("cui") + 16 * F.size("semtypes") + 64
+    total = concepts.agg(F.sum(concept_bytes)).first()[0] or 0
+    bounds = key_bounds(kind, threshold, *(found[c].to_pylist() for c in ("key", "size", "rest")))
+    return StoredDictionary(kind, threshold, concepts, index, order, bounds, max(sum(found["bytes"].to_pylist()), total))
+
+
 # --- note side -------------------------------------------------------------------------------
 
 
@@ -161,21 +198,17 @@ def blocks(units: DataFrame, note_key: Sequence[str], max_words: int = MAX_WORDS
 def spans(
     units: DataFrame,
     note_key: Sequence[str],
-    order: Sequence[int],
-    key_sizes: Mapping[int, tuple[int, int, int]],
-    share: float,
+    stored: StoredDictionary,
     max_words: int = MAX_WORDS,
 ) -> DataFrame:
     """``(*note_key, unit, word_pos, n_words, span, places, keys)`` for every span that could match.
 
-    A span is a run of 1..max_words words that starts and ends with a letter. ``key_sizes``
-    holds, per place the dictionary index uses, the sizes of the smallest and largest term and
-    the longest rest.
+    A span is a run of 1..max_words words that starts and ends with a letter.
     """
     rows = blocks(units, note_key, max_words)
-    smallest = min((low for low, _, _ in key_sizes.values()), default=1)
-    min_grams = max(1, math.ceil(smallest * share - 1e-9))
-    kept = span_filter(order, key_sizes, share, min_grams, max_words, BLOCK_WORDS, len(note_key) + 1)
+    share = sim.required_share(stored.kind, stored.threshold)
+    min_grams = max(1, math.ceil(int(stored.bounds.low.min(initial=1 << 30)) * share - 1e-9))
+    kept = span_filter(stored.order, stored.bounds, share, min_grams, max_words, BLOCK_WORDS, len(note_key) + 1)
     schema = T.StructType(
         [
             *(rows.schema[c] for c in (*note_key, "unit")),
@@ -192,28 +225,42 @@ def spans(
 # --- join ------------------------------------------------------------------------------------
 
 
-def _similar_terms(rows: DataFrame, index: DataFrame, kind: str, threshold: float, broadcast: bool) -> DataFrame:
-    """Rows with each similar term once: a pair counts at its first common trigram only."""
+def _similar_terms(rows: DataFrame, stored: StoredDictionary, broadcast: bool, cells: int | None = None) -> DataFrame:
+    """Rows with each similar term once: a pair counts at its first common trigram only.
+
+    Without ``broadcast`` rows and index meet on (trigram, size class): a row goes to the classes of the sizes it can match, and pairs of
+    a trigram and class that both sides hold often are cut into a grid on both sides.
+    """
+    kind, threshold = stored.kind, stored.threshold
     columns = [c for c in rows.columns if c not in ("places", "keys")]
     own = F.size("places")
     keyed = rows.select(*columns, "places", own.alias("_own"), F.explode("keys").alias("key")).withColumn(
         "_rest", F.col("_own") - F.array_position("places", F.col("key")) + 1
     )
+    if broadcast:
+        met = keyed.join(F.broadcast(stored.index), "key")
+    else:
+        low, high = sim.class_range(kind, threshold, F.col("_own"))
+        classes = stored.index.select("key", "size_class").distinct()
+        largest = F.greatest(F.coalesce(F.lit(stored.index.agg(F.max("size_class")).first()[0]), F.lit(0)), low)
+        keyed = keyed.withColumn("size_class", F.explode(F.sequence(low, F.least(high, largest))))
+        met = grid_join(
+            keyed.join(F.broadcast(classes), ["key", "size_class"], "left_semi"), stored.index, ["key", "size_class"],
+            left_spread=["span"], right_spread=["term"], cells=cells,
+        )
     common = F.array_intersect("places", "term_places")
     value = sim.similarity(kind, F.size(common), F.col("_own"), F.col("size"))
     # at the first common trigram, nothing before it on either side can be shared
     reach = sim.similarity(kind, F.least("_rest", "rest"), F.col("_own"), F.col("size"))
     # one conjunction, cheapest first: sets are intersected only where the bound allows a match
-    pairs = keyed.join(F.broadcast(index) if broadcast else index, "key").filter(
-        (reach >= threshold) & (value >= threshold) & (F.col("key") == F.array_min(common))
-    )
+    pairs = met.filter((reach >= threshold) & (value >= threshold) & (F.col("key") == F.array_min(common)))
     return pairs.select(*columns, "term", value.alias("similarity"))
 
 
 def match_spans(
     notes: DataFrame,
     note_key: Sequence[str],
-    dictionary: DataFrame,
+    dictionary: DataFrame | StoredDictionary,
     text: str = "text",
     granularity: str = "N",
     threshold: float = 0.7,
@@ -227,34 +274,19 @@ def match_spans(
     All concepts of every span at or above the threshold; overlapping spans are all kept.
     Spans have up to ``max_words`` words. A match has three characters at least, so shorter
     terms never match (``dictionary_terms`` leaves them out).
-    A dictionary index of checked size is broadcast, and spans never leave their task. Beyond
-    that size the distinct spans are matched in a shuffled join instead, and their matches
+    ``dictionary`` is a table, prepared here once, or one stored before, whose measure and threshold then hold.
+    An index of checked size is broadcast, and spans never leave their task. Beyond
+    that size the distinct spans are matched in a shuffled join instead, with frequent trigrams cut on both sides, and their matches
     are joined back with frequent spans cut into parts.
     """
-    sim.check_measure(kind, threshold)
-    terms = dictionary_terms(dictionary)
-    order = trigram_order(terms)
-    index = dictionary_index(terms, order, kind, threshold)
-    row_bytes = F.octet_length("term") + 4 * F.size("term_places") + 64
-    # one row per key of the order, so at most one per trigram of the alphabet
-    keys = (
-        index.groupBy("key")
-        .agg(F.min("size").alias("low"), F.max("size").alias("high"), F.max("rest").alias("rest"), F.sum(row_bytes).alias("bytes"))
-        .collect()
-    )
-    key_sizes = {k["key"]: (k["low"], k["high"], k["rest"]) for k in keys}
-    concept_bytes = F.octet_length("term") + F.octet_length("cui") + 16 * F.size("semtypes") + 64
-    index_bytes = max(sum(k["bytes"] for k in keys), dictionary.agg(F.sum(concept_bytes)).first()[0] or 0)
+    stored = dictionary if isinstance(dictionary, StoredDictionary) else store_dictionary(dictionary, kind, threshold)
     units = note_units(notes, note_key, text, granularity)
-    share = sim.required_share(kind, threshold)
-    found = spans(units, note_key, order, key_sizes, share, 1 if granularity == "W" else max_words)
-    concepts = dictionary.select(F.lower("term").alias("term"), "cui", F.sort_array("semtypes").alias("semtypes"))
+    found = spans(units, note_key, stored, 1 if granularity == "W" else max_words)
     columns = [*note_key, "unit", "word_pos", "n_words", "span", "term", "cui", "semtypes", "similarity"]
-    if index_bytes <= index_bytes_to_broadcast:
-        hits = _similar_terms(found, index, kind, threshold, broadcast=True)
-        return hits.join(F.broadcast(concepts), "term").select(*columns)
-    distinct = found.groupBy("span").agg(F.first("places").alias("places"), F.first("keys").alias("keys"))
-    similar = _similar_terms(distinct, index, kind, threshold, broadcast=False).join(concepts, "term")
+    if stored.index_bytes <= index_bytes_to_broadcast:
+        return _similar_terms(found, stored, broadcast=True).join(F.broadcast(stored.concepts), "term").select(*columns)
+    distinct = cut_lineage(found.groupBy("span").agg(F.first("places").alias("places"), F.first("keys").alias("keys")))
+    similar = _similar_terms(distinct, stored, broadcast=False).join(stored.concepts, "term")
     return skewed_join(
         found.drop("places", "keys"), similar, ["span"], spread_by=[*note_key, "unit", "word_pos"], hot_rows=hot_rows
     ).select(*columns)
@@ -312,7 +344,7 @@ def concept_strings(arrays: DataFrame, note_key: Sequence[str]) -> DataFrame:
 def annotate(
     notes: DataFrame,
     note_key: Sequence[str],
-    dictionary: DataFrame,
+    dictionary: DataFrame | StoredDictionary,
     text: str = "text",
     granularity: str = "N",
     threshold: float = 0.7,

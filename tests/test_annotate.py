@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from test_text import normalize, words
 
 from chartloom.functions.text import STOP_WORDS
-from chartloom.operators import annotate
+from chartloom.functions import similarity as sim
+from chartloom.operators import annotate, skew
+from chartloom.operators.span_filter import least_shared
 
 FORMULA = {
     "jaccard": lambda i, a, b: i / (a + b - i),
@@ -168,3 +170,65 @@ def test_empty_dictionary(spark, notes):
     empty = spark.createDataFrame([], "term string, cui string, semtypes array<string>")
     assert annotate.match_spans(notes, ["note"], empty).count() == 0
     assert annotate.annotate(notes, ["note"], empty).filter(F.col("term") != "").count() == 0
+
+
+SYLLABLES = "th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le".split()
+
+
+def large_dictionary(spark, n):
+    """``n`` distinct two-word terms of syllables chosen by the digits of their numbers."""
+    listed = F.array(*(F.lit(x) for x in SYLLABLES))
+
+    def syllable(base):
+        return F.element_at(listed, (F.floor(F.col("id") / F.lit(base)) % len(SYLLABLES) + 1).cast("int"))
+
+    term = F.concat(syllable(1), syllable(30), F.lit(" "), syllable(900), syllable(27_000), syllable(7))
+    return spark.range(n).select(term.alias("term"), F.format_string("C%06d", "id").alias("cui"), F.array(F.lit("T1")).alias("semtypes"))
+
+
+def test_large_dictionary_through_the_shuffle(spark):
+    rng = random.Random(8)
+    texts = [(k, " ".join("".join(rng.choice(SYLLABLES) for _ in range(rng.randint(1, 3))) for _ in range(40))) for k in range(10)]
+    stored = annotate.store_dictionary(large_dictionary(spark, 100_000))
+    assert stored.concepts.select("term").distinct().count() == 100_000
+    known = [r.term for r in stored.concepts.filter("crc32(term) % 700 = 0").select("term").collect()]
+    texts += [(100 + k, " ".join(known[k::12])) for k in range(12)]
+    df = spark.createDataFrame(texts, "note long, text string")
+    key = ["note", "word_pos", "n_words", "span", "term", "cui"]
+    near, far = ({tuple(r) for r in annotate.match_spans(df, ["note"], stored, index_bytes_to_broadcast=bound).select(*key, F.round("similarity", 9)).collect()} for bound in (1 << 40, 0))
+    assert near == far and len(near) > 100
+
+
+def test_grid_balances_keys_that_are_hot_on_both_sides(spark):
+    def side(n, name):  # the first key holds a third of the rows, the second a fifth
+        share = F.col("id") % 15
+        key = F.when(share < 5, 0).when(share < 8, 1).otherwise(F.col("id") % 997)
+        return spark.range(n).select(key.alias("key"), F.col("id").alias(name))
+
+    left, right = side(30_000, "l"), side(6_000, "r")
+    grid = skew.join_grid(left, right, ["key"], cells=512)
+    cell = ["key", "_rows_part", "_columns_part"]
+    one, other = (skew.deal(s, grid, ["key"], [name], *dims).groupBy(*cell).agg(F.count("*").alias(name))
+                  for s, name, dims in ((left, "l", ("_rows", "_columns")), (right, "r", ("_columns", "_rows"))))
+    tasks = [r.work for r in one.join(other, cell).groupBy(F.pmod(F.hash(*cell), F.lit(16))).agg(F.sum(F.col("l") * F.col("r")).alias("work")).collect()]
+    assert max(tasks) <= 2 * sorted(tasks)[8] and len(tasks) == 16
+    joined = skew.grid_join(left, right, ["key"], left_spread=["l"], right_spread=["r"], cells=512)
+    want = left.groupBy("key").count().join(right.groupBy("key").count().withColumnRenamed("count", "n"), "key").agg(F.sum(F.col("count") * F.col("n"))).first()[0]
+    assert joined.count() == joined.select("l", "r").distinct().count() == want
+    nulls = spark.createDataFrame([(None, 1), (1, 2)], "key long, l long")
+    assert [tuple(r) for r in skew.grid_join(nulls, nulls.withColumnRenamed("l", "r"), ["key"], left_spread=["l"], right_spread=["r"]).collect()] == [(1, 2, 2)]
+
+
+@pytest.mark.parametrize("kind,threshold", [("jaccard", 0.7), ("jaccard", 0.05), ("dice", 0.8), ("cosine", 0.75), ("cosine", 1.0), ("overlap", 0.5)])
+def test_size_classes_miss_no_size(spark, kind, threshold):
+    sizes = spark.range(1, 60).select(F.col("id").cast("int").alias("a"))
+    low, high = sim.class_range(kind, threshold, F.col("a"))
+    rows = sizes.select("a", low.alias("low"), high.alias("high"), sim.size_class(kind, threshold, F.col("a")).alias("own")).collect()
+    own = {r.a: r.own for r in rows}
+    for r in rows:
+        for b in own:
+            best = FORMULA[kind](min(r.a, b), r.a, b)
+            assert best < threshold - 1e-9 or r.low <= own[b] <= r.high
+            shared = int(least_shared(kind, threshold, r.a, b))
+            assert shared > min(r.a, b) or FORMULA[kind](shared, r.a, b) >= threshold - 1e-9
+            assert shared == 1 or FORMULA[kind](shared - 1, r.a, b) < threshold
