@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from chartloom import schemas
 from chartloom.functions.text import append_semtypes, fill_null
+from chartloom.sources import quoted_csv
 
 
 def read_table(
@@ -15,14 +16,13 @@ def read_table(
 ) -> DataFrame:
     """Named columns cast to their declared types; nothing is inferred, the rest is pruned.
 
-    CSV follows the quoting most writers use. With ``multiline`` a field may hold line breaks, and
-    a file is then read by one task; without, a file is split. The default allows them where a
-    column of free text is read.
+    CSV follows the quoting most writers use. With ``multiline`` a field may hold line breaks; files are
+    split among tasks either way, but read twice then. The default allows line breaks where a column of free text is read.
     """
     if fmt == "csv":
         if multiline is None:
             multiline = bool({*schemas.TEXT_VARIANTS, "semtypes"} & set(columns))
-        df = spark.read.csv(path, header=True, multiLine=multiline, quote='"', escape='"')
+        df = quoted_csv.read(spark, path) if multiline else spark.read.csv(path, header=True, quote='"', escape='"')
     else:
         df = spark.read.format(fmt).load(path)
     return df.select(*(F.col(name).cast(kind).alias(name) for name, kind in columns.items()))
@@ -35,14 +35,18 @@ def read_notes(
     with_semtypes: bool = False,
     extra: Mapping[str, str] | None = None,
     fmt: str = "parquet",
+    multiline: bool | None = None,
 ) -> DataFrame:
-    """Note ids and the chosen text variant, nulls filled; ``extra`` adds typed key columns."""
+    """Note ids and the chosen text variant, nulls filled; ``extra`` adds typed key columns.
+
+    ``multiline=False`` reads CSV whose texts hold no line breaks in one pass.
+    """
     if var.lower() not in schemas.TEXT_VARIANTS:
         raise ValueError(f"var must be one of {schemas.TEXT_VARIANTS}, got {var!r}")
     columns = {**schemas.NOTE_IDS, **(extra or {}), var.lower(): "string"}
     if with_semtypes:
         columns["semtypes"] = "string"
-    return read_table(spark, path, columns, fmt).withColumn(var.lower(), fill_null(F.col(var.lower())))
+    return read_table(spark, path, columns, fmt, multiline).withColumn(var.lower(), fill_null(F.col(var.lower())))
 
 
 def read_admissions(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
