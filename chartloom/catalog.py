@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from chartloom.functions import scores, text as tx
 from chartloom.functions.similarity import MEASURES, similarity
-from chartloom.operators import annotate, features, metrics, models, pooling, splits, windows
+from chartloom.operators import annotate, features, fits, metrics, models, pooling, splits, windows
 from chartloom.operators.labels import admission_counts, prevalence
 from chartloom.operators.vocabulary import vocabulary
 from chartloom.plans import bow, embedding, preprocess, sequence
@@ -536,8 +536,7 @@ def w2v_refit(spark, sf):
 def w2v_search(spark, sf):
     notes, labels = fx.turns(spark, sf), fx.derived_labels(spark, sf)
     _, found = embedding.search(notes, labels, KEY)
-    rows = spark.createDataFrame(found, "size int, window int, rate double, alpha double, auroc double")
-    return rows.select("size", "window", "rate", "alpha", _valid())
+    return fits.table_of(spark, found).select("size", "window", "rate", "alpha", _valid())
 
 
 @query

@@ -386,8 +386,9 @@ SQL: dict[str, str] = {
         FROM notes n LEFT JOIN hit h ON n.subject_id = h.subject_id AND n.hadm_id = h.hadm_id""",
     "w2v_refit": f"""WITH {_NOTES}, words AS (SELECT unnest({_words(_normalize('text'))}) AS term FROM notes)
         SELECT term AS word, 100 AS size FROM words GROUP BY term HAVING count(*) >= 5""",
-    "w2v_search": """SELECT 100 AS size, 5 AS "window", 1e-2::DOUBLE AS rate, alpha::DOUBLE AS alpha, true AS valid
-        FROM (VALUES (1e-4), (1e-3), (1e-2)) a(alpha)""",
+    "w2v_search": """SELECT size, "window", rate::DOUBLE AS rate, alpha::DOUBLE AS alpha, true AS valid
+        FROM (VALUES (100), (200)) s(size), (VALUES (5), (7), (9)) w("window"),
+            (VALUES (1e-4), (1e-3), (1e-2)) r(rate), (VALUES (1e-4), (1e-3), (1e-2)) a(alpha)""",
     "patient_alpha_search": """SELECT 'l2' AS penalty, alpha::DOUBLE AS alpha, true AS valid
         FROM (VALUES (0.005), (0.01), (0.02)) a(alpha)""",
     "holdout_tables": f"""WITH {_NOTE_HOLDOUT},

@@ -65,6 +65,40 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     Later reads neither recompute ``df`` nor depend on executors that computed it. Unlike
     ``DataFrame.checkpoint``, the last stage runs once, and the planner learns the size.
     """
+    return _stored(df)[0]
+
+
+def _stored(df: DataFrame) -> tuple[DataFrame, str]:
     path = f"{shared_dir(df.sparkSession)}/table-{uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def _file_system(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def folder_exists(spark: SparkSession, path: str) -> bool:
+    system, target = _file_system(spark, path)
+    return system.exists(target)
+
+
+class Scratch:
+    """Tables as ``cut_lineage`` writes them, deleted when the ``with`` block ends, for readers that end before it."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        stored, path = _stored(df)
+        self.paths.append(path)
+        return stored
+
+    def __exit__(self, *_) -> None:
+        for path in self.paths:
+            system, target = _file_system(self.spark, path)
+            system.delete(target, True)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.ml.classification import LinearSVCModel
 from pyspark.sql import functions as F
 
-from chartloom.operators import models, splits
+from chartloom.operators import fits, models, splits
 from chartloom.operators.annotate import annotate
 from chartloom.plans import bow, embedding, preprocess, sequence
 from chartloom.sources import sinks
@@ -113,3 +113,42 @@ def test_plans_take_any_note_key(spark):
     vectors = bow.patient_vectors(notes, ["row_id"], fit_filter=notes["row_id"] < 3)
     assert sorted(r.subject_id for r in vectors.collect()) == [0, 1, 2, 3]  # 3 has no known term but "common text"
     assert sequence.prepare(notes, labels, ["row_id"], seq_len=8).select("row_id").distinct().count() == 12
+
+
+def test_stopped_search_goes_on_where_it_ended(spark, corpus, tmp_path):
+    notes, labels = corpus
+    trained, train = [], models.train_embedding
+
+    def counting(*args, **options):
+        trained.append(options["size"])
+        if len(trained) == 3:
+            raise RuntimeError("stopped")
+        return train(*args, **options)
+
+    options = dict(grid=embedding.embedding_grid([6, 8], [5], [0.025]), alphas=[1e-2, 1e-1], n_folds=2, max_iter=5, min_count=1, parallelism=1, results=str(tmp_path / "fits"))
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(models, "train_embedding", counting)
+        with pytest.raises(RuntimeError):
+            embedding.search(notes, labels, KEY, **options)
+        best, found = embedding.search(notes, labels, KEY, **options)
+        assert trained == [6, 6, 8, 8, 8]  # the third stopped the first search; the second trains the two that were left
+        assert embedding.search(notes, labels, KEY, **options)[1] == found and len(trained) == 5
+    assert len(found) == 4 and best in found
+
+
+def test_fits_side_by_side_keep_their_own_properties(spark):
+    """Queries inside threads that share local properties fail now and then; each fit has its own."""
+    def fit(params):
+        spark.sparkContext.setLocalProperty("own", str(params["k"]))
+        n = spark.range(200).rdd.count()  # a query inside a query's properties
+        return [{"auroc": float(n), "own": spark.sparkContext.getLocalProperty("own")}]
+
+    params = [{"k": k} for k in range(24)]
+    got = fits.run_fits(spark, params, fit, parallelism=8)
+    assert [r[0]["own"] for r in got] == [str(k) for k in range(24)] and spark.sparkContext.getLocalProperty("own") is None
+
+
+def test_mean_scores_leave_out_folds_without_a_value():
+    params = [{"a": a, "fold": f} for a in (1, 2) for f in (0, 1)]
+    scores = [[{"auroc": 0.5}], [{"auroc": None}], [{"auroc": 0.25}], [{"auroc": 0.75}]]
+    assert fits.mean_scores(params, scores) == [{"a": 1, "auroc": 0.5}, {"a": 2, "auroc": 0.5}]
