@@ -161,6 +161,21 @@ def holdout_audit(spark, sf):
     return splits.holdout_audit(fx.derived_labels(spark, sf))
 
 
+def _noted_labels(spark, sf):
+    return splits.labels_with_notes(fx.derived_labels(spark, sf), fx.turns(spark, sf))
+
+
+@query
+def holdout_of_noted_patients(spark, sf):
+    """The hold-out set as drawn for an experiment: of labelled patients that have notes."""
+    return splits.holdout_patients(_noted_labels(spark, sf))
+
+
+@query
+def audit_of_noted_patients(spark, sf):
+    return splits.holdout_audit(_noted_labels(spark, sf))
+
+
 def _holdout(spark, sf):
     """Hold-out patients, drawn once: several joins of a query use the same list."""
     labels = cut_lineage(fx.derived_labels(spark, sf))

@@ -279,6 +279,10 @@ SQL: dict[str, str] = {
     "holdout_audit": f"""WITH {_LABELS}, {_holdout('lab')}
         SELECT CASE WHEN subject_id IN (SELECT subject_id FROM chosen) THEN 'test' ELSE 'train' END AS split, readm,
                count(*) AS n, (SELECT h FROM size)::BIGINT AS holdout_expected FROM lab GROUP BY ALL""",
+    "holdout_of_noted_patients": f"WITH {_NOTE_HOLDOUT} SELECT subject_id, readm FROM chosen",
+    "audit_of_noted_patients": f"""WITH {_NOTE_HOLDOUT}
+        SELECT CASE WHEN subject_id IN (SELECT subject_id FROM chosen) THEN 'test' ELSE 'train' END AS split, readm,
+               count(*) AS n, (SELECT h FROM size)::BIGINT AS holdout_expected FROM nlab GROUP BY ALL""",
     "split_anti": f"""WITH {_NOTE_HOLDOUT} SELECT subject_id, hadm_id FROM notes
         WHERE subject_id NOT IN (SELECT subject_id FROM chosen)""",
     "split_semi": f"""WITH {_NOTE_HOLDOUT} SELECT subject_id, hadm_id FROM notes

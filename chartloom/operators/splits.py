@@ -6,8 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from chartloom.operators.ranking import hash_rank
+from chartloom.operators.ranking import hash_rank, hash_sample
 from chartloom.operators.skew import skewed_join
+from chartloom.session import cut_lineage
 
 
 def patients(notes: DataFrame) -> DataFrame:
@@ -24,11 +25,11 @@ def check_fraction(frac: float) -> None:
         raise ValueError(f"hold-out fraction must be in (0, 0.4], got {frac}")
 
 
-def holdout_sizes(labels: DataFrame, frac: float) -> DataFrame:
-    """Per label value, how many patients belong to the hold-out set (two rows)."""
+def holdout_sizes(counts: DataFrame, frac: float) -> DataFrame:
+    """Per label value, how many patients belong to the hold-out set (two rows), from ``(readm, count)`` rows."""
     check_fraction(frac)
-    counted = labels.agg(
-        F.count("*").alias("n"), F.coalesce(F.sum("readm"), F.lit(0)).alias("n_pos")
+    counted = counts.agg(
+        F.coalesce(F.sum("count"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.col("readm") * F.col("count")), F.lit(0)).alias("n_pos")
     )
     size = F.floor(F.lit(frac) * F.col("n"))
     positives = F.floor(F.coalesce(F.try_divide(F.col("n_pos").cast("double"), F.col("n")), F.lit(0.0)) * size)
@@ -44,12 +45,8 @@ def holdout_sizes(labels: DataFrame, frac: float) -> DataFrame:
 
 def holdout_patients(labels: DataFrame, frac: float = 0.2, seed: int = 18520) -> DataFrame:
     """``(subject_id, readm)`` of an exact stratified sample without replacement."""
-    ranked = hash_rank(labels.select("subject_id", "readm"), "subject_id", ["readm"], seed)
-    return (
-        ranked.join(F.broadcast(holdout_sizes(labels, frac)), "readm")
-        .filter(F.col("rank") <= F.col("quota"))
-        .select("subject_id", "readm")
-    )
+    check_fraction(frac)
+    return hash_sample(labels, "subject_id", ["readm"], lambda counts: holdout_sizes(counts, frac), seed)
 
 
 def outside(rows: DataFrame, chosen: DataFrame, spread_by: Sequence[str]) -> DataFrame:
@@ -67,25 +64,24 @@ def split_column(rows: DataFrame, chosen: DataFrame, spread_by: Sequence[str], n
 
 
 def holdout_audit(labels: DataFrame, frac: float = 0.2, seed: int = 18520) -> DataFrame:
-    """Counts per split and label, with the requested hold-out size beside them."""
-    marked = labels.join(
-        holdout_patients(labels, frac, seed).select("subject_id", F.lit("test").alias("split")),
-        "subject_id",
-        "left",
-    ).fillna({"split": "train"})
+    """Counts per split and label, with the requested hold-out size beside them.
+
+    Train counts are what the chosen patients leave of the whole, so labels and sample are only counted, not joined.
+    """
+    labels = cut_lineage(labels.select("subject_id", "readm"))
+    counts = labels.groupBy("readm").agg(F.count("*").alias("n"))
+    test = holdout_patients(labels, frac, seed).groupBy("readm").agg(F.count("*").alias("n_test"))
     expected = labels.agg(F.floor(F.lit(frac) * F.count("*"))).scalar()
-    return (
-        marked.groupBy("split", "readm")
-        .agg(F.count("*").alias("n"))
-        .withColumn("holdout_expected", expected)
-    )
+    both = counts.join(F.broadcast(test), "readm", "left")  # one row a label
+    n_test = F.coalesce("n_test", F.lit(0))
+    sides = F.inline(F.array(F.struct(F.lit("train").alias("split"), (F.col("n") - n_test).alias("n")), F.struct(F.lit("test").alias("split"), n_test.alias("n"))))
+    return both.select("readm", sides).filter("n > 0").select("split", "readm", "n").withColumn("holdout_expected", expected)
 
 
 def validation_patients(notes: DataFrame, val_frac: float = 0.2, seed: int = 1) -> DataFrame:
     """``floor(val_frac * patients)`` patients; all notes of one stay on the same side."""
-    ids = patients(notes)
-    size = ids.agg(F.floor(F.lit(val_frac) * F.count("*"))).scalar()
-    return hash_rank(ids, "subject_id", seed=seed).filter(F.col("rank") <= size).select("subject_id")
+    size = F.floor(F.lit(val_frac) * F.coalesce(F.sum("count"), F.lit(0)))
+    return hash_sample(patients(notes), "subject_id", [], lambda counts: counts.agg(size.alias("quota")), seed)
 
 
 def stratified_folds(labels: DataFrame, n_folds: int = 5, seed: int = 1, key: str = "subject_id") -> DataFrame:

@@ -4,10 +4,11 @@ import hashlib
 from collections import Counter
 
 import pytest
+from conftest import plan_of
 from pyspark.sql import functions as F
 
 from chartloom.operators import splits
-from chartloom.operators.ranking import hash_rank
+from chartloom.operators.ranking import hash_rank, hash_sample
 from chartloom.operators.skew import hot_keys, skewed_join
 
 
@@ -116,7 +117,7 @@ def test_join_types_that_repeat_facts_are_refused(notes, labels):
 
 
 def test_null_keys_and_strata_stay(spark):
-    from chartloom.operators.ranking import hash_rank
+    from chartloom.operators.ranking import hash_rank, hash_sample
     from chartloom.operators.skew import skewed_join
 
     rows = spark.createDataFrame([(1, 0), (2, None), (None, 1), (None, None), (3, 0), (4, None)], "subject_id long, readm int")
@@ -125,3 +126,24 @@ def test_null_keys_and_strata_stay(spark):
     dim = spark.createDataFrame([(1, "a"), (None, "b")], "subject_id long, name string")
     for how, count in (("left", 6), ("left_anti", 5), ("inner", 1), ("left_semi", 1)):
         assert skewed_join(rows, dim, ["subject_id"], how, spread_by=["readm"], hot_rows=1).count() == count
+
+
+@pytest.mark.parametrize("strata,quotas", [(["g"], {0: 700, 1: 3, 2: 0}), (["g"], {0: 10_000, 2: 1999}), ([], 2500), ([], 0), ([], 10_000)])
+def test_sample_without_ranking_equals_the_ranked_one(spark, strata, quotas):
+    df = spark.range(6000).withColumn("g", F.when(F.col("id") % 100 < 99, F.col("id") % 3).cast("int"))
+    if strata:
+        wanted = spark.createDataFrame(list(quotas.items()), "g int, quota long")
+        ranked = hash_rank(df, "id", strata, seed=4).join(wanted, "g")
+    else:
+        wanted = spark.createDataFrame([(quotas,)], "quota long")
+        ranked = hash_rank(df, "id", seed=4).withColumn("quota", F.lit(quotas))
+    got = hash_sample(df, "id", strata, lambda counts: wanted, seed=4)
+    assert got.columns == ["id", *strata]
+    assert sorted(r.id for r in got.collect()) == sorted(r.id for r in ranked.filter("rank <= quota").collect())
+
+
+def test_sampling_moves_few_rows(labels):
+    chosen = splits.holdout_patients(labels, 0.2)
+    assert plan_of(chosen).count("Exchange hashpartitioning") + plan_of(chosen).count("Arguments: hashpartitioning") <= 3
+    empty = splits.holdout_patients(labels.limit(0), 0.2)
+    assert empty.count() == 0 and splits.holdout_audit(labels.limit(0)).count() == 0
