@@ -464,10 +464,9 @@ def cross_entropy(spark, sf):
 
 @query
 def metrics_guard(spark, sf):
-    rows = fx.document_scores(spark, sf)
-    both = metrics.guarded_metrics(rows).withColumn("labels", F.lit("both"))
-    one = metrics.guarded_metrics(rows.filter("label = 1")).withColumn("labels", F.lit("positive"))
-    return _rounded(both.unionByName(one))
+    """All documents, and those with a positive label alone, in one pass."""
+    groups = F.array_compact(F.array(F.lit("both"), F.when(F.col("label") == 1, F.lit("positive"))))
+    return _rounded(metrics.guarded_metrics(fx.document_scores(spark, sf).withColumn("labels", F.explode(groups)), by=["labels"]))
 
 
 @query
