@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import and_
 from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -14,7 +16,7 @@ from chartloom.operators.labels import admission_counts, prevalence
 from chartloom.operators.vocabulary import vocabulary
 from chartloom.plans import bow, embedding, preprocess, sequence
 from chartloom.session import cut_lineage, shared_dir
-from chartloom.sources import fixtures as fx, notes as src
+from chartloom.sources import fixtures as fx, notes as src, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -51,6 +53,14 @@ def scan_admissions(spark, sf):
     return fx.admissions(spark, sf).select(*KEY, F.unix_micros("admittime").alias("admit_us"))
 
 
+@query
+def csv_notes(spark, sf):
+    """Documents written as CSV, with the line breaks of their texts in quotes, and read again as notes."""
+    docs = fx.documents(spark, sf).select(F.col("doc_id").alias("subject_id"), F.col("doc_id").cast("string").alias("hadm_id"), "text")
+    path = sinks.write_table(docs, f"{shared_dir(spark)}/notes-{uuid4().hex}", "csv")
+    return src.read_notes(spark, path, "text", fmt="csv", multiline=True)
+
+
 @query
 def skip_ranges(spark, sf):
     docs = fx.table(spark, sf, "documents").select("doc_id", "source", "n_chars")
@@ -318,6 +328,24 @@ def filter_semtypes(spark, sf):
     return _best_rows(annotate.drop_excluded(_best(spark, sf), EXCLUDED_TYPES))
 
 
+@query
+def filter_listed_semtypes(spark, sf):
+    """As ``filter_semtypes``, with the types read from a line list."""
+    path = f"{shared_dir(spark)}/types-{uuid4().hex}"
+    fx.dictionary(spark, sf).select(F.explode("semtypes").alias("value")).filter(F.col("value").isin(EXCLUDED_TYPES)).write.text(path)
+    return _best_rows(annotate.drop_excluded(_best(spark, sf), src.read_line_list(spark, path)))
+
+
+@query
+def annotate_sentence_cuis(spark, sf):
+    return annotate.annotate(fx.documents(spark, sf), ["doc_id"], fx.dictionary(spark, sf), granularity="S", attribute="cui")
+
+
+@query
+def annotate_word_terms(spark, sf):
+    return annotate.annotate(fx.documents(spark, sf), ["doc_id"], fx.dictionary(spark, sf, 11, 1), granularity="W", attribute="term")
+
+
 def _score_string(c: str) -> Column:
     return F.array_join(F.transform(c, lambda s: F.format_number(s, 4)), " ")
 
@@ -352,10 +380,7 @@ def corpus_variants(spark, sf):
     return original.unionByName(strings.select("doc_id", F.inline(variants)))
 
 
-@query
-def similarity_measures(spark, sf):
-    pairs = _best(spark, sf, first=11, n_words=1).select("span", "term").distinct()
-
+def _measures(pairs: DataFrame) -> DataFrame:
     def grams(c):
         return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda i: F.substring(c, i, 3)))
 
@@ -370,6 +395,20 @@ def similarity_measures(spark, sf):
     )
 
 
+@query
+def similarity_measures(spark, sf):
+    return _measures(_best(spark, sf, first=11, n_words=1).select("span", "term").distinct())
+
+
+@query
+def similarity_of_candidates(spark, sf):
+    """All measures of every word and one-word term that share a trigram."""
+    rows = annotate.match_spans(
+        fx.documents(spark, sf), ["doc_id"], fx.dictionary(spark, sf, 11, 1), granularity="W", kind="overlap", threshold=1e-6
+    )
+    return _measures(rows.select("span", "term").distinct())
+
+
 def _measure_matches(spark, sf, kind, threshold):
     rows = annotate.match_spans(
         fx.turns(spark, sf), KEY, fx.dictionary(spark, sf), kind=kind, threshold=threshold
@@ -474,6 +513,14 @@ def evaluation_report(spark, sf):
     return _rounded(metrics.evaluation_report(fx.logits(spark, sf)))
 
 
+@query
+def report_sink(spark, sf):
+    """The evaluation report written as JSON and read again."""
+    rows = _rounded(metrics.evaluation_report(fx.logits(spark, sf)))
+    path = sinks.write_report(rows, f"{shared_dir(spark)}/report-{uuid4().hex}")
+    return spark.read.schema(rows.schema).json(path)
+
+
 @query
 def metrics_by_level(spark, sf):
     return _rounded(metrics.metrics_by_level(fx.logits(spark, sf)))
@@ -515,6 +562,50 @@ def elastic_net_scores(spark, sf):
     return _scores(spark, sf, models.elastic_net(1e-2))
 
 
+@query
+def model_reload(spark, sf):
+    """Both classifiers saved and loaded again: whether they score every test patient as before."""
+    rows = _bow_rows(spark, sf)
+    train, test = rows.filter("split = 'train'"), rows.filter("split = 'test'")
+    found = []
+    for penalty, estimator in (("l2", models.linear_svm(1e-2)), ("elasticnet", models.elastic_net(1e-2))):
+        model = estimator.fit(train)
+        again = type(model).load(sinks.save_model(model, f"{shared_dir(spark)}/model-{uuid4().hex}"))
+        both = models.score(model, test).join(models.score(again, test).withColumnRenamed("score", "again"), "subject_id")
+        found.append(both.select(F.lit(penalty).alias("penalty"), "subject_id", (F.col("score") == F.col("again")).alias("equal")))
+    return found[0].unionByName(found[1])
+
+
+def _tables(spark, sf):
+    """Notes and labels of train and test patients, as the experiments take them."""
+    labels = cut_lineage(_noted_labels(spark, sf))
+    notes, chosen = fx.turns(spark, sf).select(*KEY, "text"), _holdout(spark, sf)
+    by_label = (splits.outside(labels, chosen, ["subject_id"]), splits.inside(labels, chosen, ["subject_id"]))
+    return splits.outside(notes, chosen, KEY), by_label[0], splits.inside(notes, chosen, KEY), by_label[1]
+
+
+def _report_shape(report: DataFrame) -> DataFrame:
+    """What is determined of a report: how many patients it covers, and that its rates are rates."""
+    rates = [c for c in report.columns if c != "n"]
+    inside = [F.coalesce(F.col(c).between(0.0, 1.0), F.lit(True)) for c in rates]
+    return report.select("n", reduce(and_, inside).alias("valid"))
+
+
+@query
+def bow_report(spark, sf):
+    """The bag-of-words experiment from end to end: features, whole search, test report."""
+    return _report_shape(bow.run(*_tables(spark, sf), KEY, parallelism=8).report)
+
+
+@query
+def embedding_report(spark, sf):
+    """The embedding experiment from end to end, on one embedding of the grid: note-level search, patient-level refinement, both reports."""
+    grid = embedding.embedding_grid([100], [5], [1e-2])
+    outcome, dev = embedding.run(*_tables(spark, sf), KEY, grid=grid)
+    reports = (_report_shape(r).withColumn("report", F.lit(name)) for name, r in (("test", outcome.report), ("train", dev)))
+    return reduce(DataFrame.unionByName, reports)
+
+
 @query
 def grid_search(spark, sf):
     rows = _bow_rows(spark, sf).filter("split = 'train'").drop("split")

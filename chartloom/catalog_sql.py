@@ -320,6 +320,12 @@ SQL: dict[str, str] = {
     "filter_semtypes": f"WITH {_matches()} SELECT {_BEST_COLUMNS} FROM best WHERE semtypes NOT IN ('T0', 'T3')",
     "annotate_concepts": f"""WITH {_matches()}, kept AS (SELECT * FROM best WHERE semtypes NOT IN ('T0', 'T3')),
         {_strings('kept')} SELECT * FROM strings""",
+    "filter_listed_semtypes": f"WITH {_matches()} SELECT {_BEST_COLUMNS} FROM best WHERE semtypes NOT IN ('T0', 'T3')",
+    "annotate_sentence_cuis": f"WITH {_matches(granularity='S')}, {_strings('best')} SELECT doc_id, cui FROM strings",
+    "annotate_word_terms": f"WITH {_matches(granularity='W', n_words=1)}, {_strings('best')} SELECT doc_id, term FROM strings",
+    "similarity_of_candidates": f"""WITH {_matches(granularity='W', n_words=1)}
+        SELECT span, term, {', '.join(f'round({f}, 6) AS {k}' for k, f in _MEASURE.items())} FROM pairs""",
+    "csv_notes": "SELECT doc_id AS subject_id, doc_id::VARCHAR AS hadm_id, coalesce(text, '') AS text FROM documents",
     "concept_strings": f"WITH {_matches()}, {_strings('best')} SELECT doc_id, term, cui, semtypes FROM strings",
     "corpus_variants": f"""WITH {_matches()}, {_strings('best')}
         SELECT doc_id, 'text' AS variant, coalesce(text, '') AS text FROM documents
@@ -376,10 +382,15 @@ SQL: dict[str, str] = {
     "metrics_guard": f"""WITH {_SCORES} SELECT 'both' AS labels, {_ROUNDED_RATES} FROM ({_rates('scores')})
         UNION ALL SELECT 'positive', count(*), NULL, NULL, NULL, NULL FROM scores WHERE label = 1""",
     "evaluation_report": f"WITH {_LOGITS} {_report('seqs', 'seqs')}",
+    "report_sink": f"WITH {_LOGITS} {_report('seqs', 'seqs')}",
     "metrics_by_level": f"""WITH {_LOGITS} {_report('seqs', 'seqs', ", 'sequence' AS level")}
         UNION ALL {_report('pool', 'seqs', ", 'patient' AS level")}""",
     "svm_scores": f"WITH {_NOTE_HOLDOUT} SELECT subject_id, readm, true AS scored, true AS agrees FROM chosen",
     "elastic_net_scores": f"WITH {_NOTE_HOLDOUT} SELECT subject_id, readm, true AS scored, true AS agrees FROM chosen",
+    "model_reload": f"WITH {_NOTE_HOLDOUT} SELECT penalty, subject_id, true AS equal FROM chosen, (VALUES ('l2'), ('elasticnet')) p(penalty)",
+    "bow_report": f"WITH {_NOTE_HOLDOUT} SELECT count(*) AS n, true AS valid FROM chosen",
+    "embedding_report": f"""WITH {_NOTE_HOLDOUT} SELECT count(*) AS n, true AS valid, 'test' AS report FROM chosen
+        UNION ALL SELECT count(*), true, 'train' FROM nlab WHERE subject_id NOT IN (SELECT subject_id FROM chosen)""",
     "grid_search": """SELECT penalty, alpha::DOUBLE AS alpha, true AS valid
         FROM (VALUES ('l2'), ('elasticnet')) p(penalty), (VALUES (1e-4), (1e-3), (1e-2), (1e-1), (1.0)) a(alpha)""",
     "w2v_note_vectors": f"""WITH {_NOTES},

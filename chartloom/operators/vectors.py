@@ -7,19 +7,21 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from chartloom.operators.skew import HOT_ROWS, skewed_join
 from chartloom.operators.vocabulary import vocabulary
+from chartloom.session import cut_lineage
 
 
-def sparse_vector(size: Column, indices: Column, values: Column) -> Column:
-    """ML vector from sorted indices and values, built inside the JVM.
+def with_vectors(rows: DataFrame, size: int, indices: Column, values: Column, name: str = "features") -> DataFrame:
+    """``rows`` with an ML vector of sorted indices and values, as a stored table.
 
-    There is no built-in constructor for sparse vectors; parsing their stored layout is the
-    one expression that yields the vector type.
+    There is no built-in constructor for sparse vectors. The layout in which a vector is stored is written as plain columns, and
+    the table is read back with the vector type, so that no value is converted on the way.
     """
     layout = F.struct(
-        F.lit(0).alias("type"), size.cast("int").alias("size"), indices.alias("indices"), values.alias("values")
+        F.lit(0).cast("tinyint").alias("type"), F.lit(size).cast("int").alias("size"), indices.cast("array<int>").alias("indices"), values.cast("array<double>").alias("values")
     )
-    schema = T.StructType([T.StructField("v", VectorUDT())])
-    return F.from_json(F.to_json(F.struct(layout.alias("v"))), schema)["v"]
+    laid = rows.withColumn(name, layout)
+    fields = [T.StructField(name, VectorUDT()) if f.name == name else f for f in laid.schema]
+    return cut_lineage(laid, T.StructType(fields))
 
 
 def term_index(rows: DataFrame) -> DataFrame:
@@ -55,5 +57,4 @@ def term_vectors(
         entries = keys.select(key).distinct().join(entries, key, "left")
     none = F.array().cast(entries.schema["e"].dataType)
     entries = entries.withColumn("e", F.coalesce("e", none))
-    features = sparse_vector(F.lit(n_features), F.col("e.idx"), F.col("e.weight"))
-    return entries.select(key, features.alias("features"))
+    return with_vectors(entries, n_features, F.col("e.idx"), F.col("e.weight")).select(key, "features")

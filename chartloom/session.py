@@ -7,6 +7,7 @@ from functools import lru_cache
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 PARTITION_BYTES = 128 << 20
@@ -59,19 +60,19 @@ def _local_dir(application: str) -> str:
     return tempfile.mkdtemp(prefix="run-", dir="/tmp")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """``df`` as a table written to the shared folder and read back.
+def cut_lineage(df: DataFrame, schema: StructType | None = None) -> DataFrame:
+    """``df`` as a table written to the shared folder and read back, as ``schema`` if its stored layout is that of ``df``.
 
     Later reads neither recompute ``df`` nor depend on executors that computed it. Unlike
     ``DataFrame.checkpoint``, the last stage runs once, and the planner learns the size.
     """
-    return _stored(df)[0]
+    return _stored(df, schema)[0]
 
 
-def _stored(df: DataFrame) -> tuple[DataFrame, str]:
+def _stored(df: DataFrame, schema: StructType | None = None) -> tuple[DataFrame, str]:
     path = f"{shared_dir(df.sparkSession)}/table-{uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), path
+    return df.sparkSession.read.schema(schema or df.schema).parquet(path), path
 
 
 def _file_system(spark: SparkSession, path: str):

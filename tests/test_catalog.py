@@ -42,7 +42,7 @@ def canonical(df: pd.DataFrame) -> list[tuple]:
 
 
 # Whole searches take minutes; RUN_SLOW=1 adds them.
-SLOW = {"grid_search", "w2v_search", "patient_alpha_search"}
+SLOW = {"grid_search", "w2v_search", "patient_alpha_search", "bow_report", "embedding_report"}
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))

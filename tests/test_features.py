@@ -9,7 +9,7 @@ from conftest import plan_of
 from pyspark.sql import functions as F
 
 from chartloom.operators import features, pooling
-from chartloom.operators.vectors import sparse_vector, term_vectors
+from chartloom.operators.vectors import term_vectors, with_vectors
 
 NOTES = [
     (1, 1, "a b a "), (1, 2, "b c"), (2, 1, ""), (2, 2, None), (3, 1, "d d d d A"), (3, 2, "a b c d"), (4, 9, "zz"),
@@ -73,9 +73,8 @@ def test_sparse_vectors(spark, notes):
         assert v.size == len(terms) and sorted(v.values) == sorted(group)
     with pytest.raises(ValueError):
         term_vectors(rows, max_features=2)
-    one = spark.range(1).select(
-        sparse_vector(F.lit(5), F.array(F.lit(1), F.lit(4)), F.array(F.lit(1e-17), F.lit(1 / 3))).alias("v")
-    ).first()["v"]
+    row = spark.createDataFrame([([1, 4], [1e-17, 1 / 3])], "i array<int>, w array<double>")
+    one = with_vectors(row, 5, F.col("i"), F.col("w"), "v").first()["v"]
     assert list(one.indices) == [1, 4] and list(one.values) == [1e-17, 1 / 3]
 
 
