@@ -17,6 +17,7 @@ from chartloom.operators.vocabulary import vocabulary
 from chartloom.plans import bow, embedding, preprocess, sequence
 from chartloom.session import cut_lineage, shared_dir
 from chartloom.sources import fixtures as fx, notes as src, sinks
+from chartloom.sources.release import Release, current
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -567,13 +568,17 @@ def model_reload(spark, sf):
     """Both classifiers saved and loaded again: whether they score every test patient as before."""
     rows = _bow_rows(spark, sf)
     train, test = rows.filter("split = 'train'"), rows.filter("split = 'test'")
+    out = Release(spark, f"{shared_dir(spark)}/models-{uuid4().hex}")
+    fitted = {"l2": models.linear_svm(1e-2).fit(train), "elasticnet": models.elastic_net(1e-2).fit(train)}
+    for penalty, model in fitted.items():
+        sinks.save_model(model, out.path(penalty))
+    out.publish()
     found = []
-    for penalty, estimator in (("l2", models.linear_svm(1e-2)), ("elasticnet", models.elastic_net(1e-2))):
-        model = estimator.fit(train)
-        again = type(model).load(sinks.save_model(model, f"{shared_dir(spark)}/model-{uuid4().hex}"))
-        both = models.score(model, test).join(models.score(again, test).withColumnRenamed("score", "again"), "subject_id")
+    for penalty, path in current(spark, out.root).items():
+        again = type(fitted[penalty]).load(path)
+        both = models.score(fitted[penalty], test).join(models.score(again, test).withColumnRenamed("score", "again"), "subject_id")
         found.append(both.select(F.lit(penalty).alias("penalty"), "subject_id", (F.col("score") == F.col("again")).alias("equal")))
-    return found[0].unionByName(found[1])
+    return reduce(DataFrame.unionByName, found)
 
 
 def _tables(spark, sf):

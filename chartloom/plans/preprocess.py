@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from chartloom.functions.text import clean
 from chartloom.operators import annotate, labels as lab, splits
 from chartloom.sources import sinks
+from chartloom.sources.release import Release
 
 
 def clean_notes(notes: DataFrame, text: str = "text") -> DataFrame:
@@ -29,16 +30,15 @@ def holdout_tables(
     """Write notes and labels partitioned into train and test by patient.
 
     Labels of patients without notes are left out; notes of unlabelled patients go to train.
-    The chosen patients are written first, so both tables see the same draw.
+    The chosen patients are written first, so both tables see the same draw. The three tables are published together:
+    ``release.current(spark, out_dir)`` names those of the last run that ended.
     """
-    kept = splits.labels_with_notes(labels, notes)
-    chosen_path = sinks.write_table(splits.holdout_patients(kept, frac, seed), f"{out_dir}/holdout")
-    chosen = notes.sparkSession.read.parquet(chosen_path)
-    return {
-        "holdout": chosen_path,
-        "labels": sinks.write_splits(splits.split_column(kept, chosen, ["subject_id"]), f"{out_dir}/labels_split"),
-        "notes": sinks.write_splits(splits.split_column(notes, chosen, note_key), f"{out_dir}/notes_split"),
-    }
+    spark, kept = notes.sparkSession, splits.labels_with_notes(labels, notes)
+    out = Release(spark, out_dir)
+    chosen = spark.read.parquet(sinks.write_table(splits.holdout_patients(kept, frac, seed), out.path("holdout")))
+    sinks.write_splits(splits.split_column(kept, chosen, ["subject_id"]), out.path("labels"))
+    sinks.write_splits(splits.split_column(notes, chosen, note_key), out.path("notes"))
+    return out.publish()
 
 
 def annotated_table(notes: DataFrame, note_key: Sequence[str], dictionary: DataFrame, out: str, fmt: str = "parquet", **options) -> str:

@@ -75,13 +75,14 @@ def _stored(df: DataFrame, schema: StructType | None = None) -> tuple[DataFrame,
     return df.sparkSession.read.schema(schema or df.schema).parquet(path), path
 
 
-def _file_system(spark: SparkSession, path: str):
+def file_system(spark: SparkSession, path: str):
+    """The Hadoop file system of a path, and the path as it wants it."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
 
 
 def folder_exists(spark: SparkSession, path: str) -> bool:
-    system, target = _file_system(spark, path)
+    system, target = file_system(spark, path)
     return system.exists(target)
 
 
@@ -101,5 +102,5 @@ class Scratch:
 
     def __exit__(self, *_) -> None:
         for path in self.paths:
-            system, target = _file_system(self.spark, path)
+            system, target = file_system(self.spark, path)
             system.delete(target, True)

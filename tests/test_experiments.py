@@ -47,6 +47,10 @@ def test_bow_experiment(tables, tmp_path):
     row = outcome.report.first()
     assert row["n"] == 18 and row["auroc"] > 0.8 and row["accuracy"] > 0.6
     assert models.candidates_table(outcome.search, outcome.scores).columns == ["alpha", "auroc", "penalty"]
+    root = str(tmp_path / "published")
+    bow.publish(outcome, root)
+    again = bow.published_model(tables[0].sparkSession, root)
+    assert again.stages[-1].coefficients == outcome.search.model.stages[-1].coefficients
     stage = outcome.search.model.stages[-1]
     path = sinks.save_model(stage, str(tmp_path / "model"))
     if isinstance(stage, LinearSVCModel):
