@@ -450,12 +450,10 @@ def sequence_prepare(spark, sf):
 
 @query
 def sequence_windows(spark, sf):
-    notes = _clean_turns(spark, sf)
-    labelled = splits.attach_labels(notes, fx.derived_labels(spark, sf), KEY)
-    totals = windows.term_totals(notes)
-    rows = windows.sequence_windows(
-        labelled, KEY, vocabulary(totals, min_count=2), seq_len=SEQ_LEN, keep=["readm"], totals=totals
-    )
+    # cleaned once and stored, as is the vocabulary: both are read again
+    notes = cut_lineage(splits.attach_labels(_clean_turns(spark, sf), fx.derived_labels(spark, sf), KEY))
+    vocab = cut_lineage(vocabulary(windows.term_totals(notes), min_count=2))
+    rows = windows.sequence_windows(notes, KEY, vocab, seq_len=SEQ_LEN, keep=["readm"], totals=vocab)
     return rows.select(
         *KEY, F.col("readm").cast("double").alias("readm"), "seq_idx",
         F.array_join(F.col("input_ids").cast("array<string>"), " ").alias("input_ids"),

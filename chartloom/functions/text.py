@@ -127,3 +127,31 @@ def term_counts(tokens: Column) -> Column:
             F.size(ordered) > 0, bind(run_starts(ordered), lambda starts: runs(ordered, starts))
         ),
     )
+
+
+def runs(values: Column, starts_run: Callable[[Column, Column], Column], make: Callable[[Column], Column]) -> Column:
+    """``make`` applied to every maximal run of an array, in one pass; null for an empty or null array.
+
+    ``starts_run(element, element before)`` says where a new run begins.
+    """
+
+    def starts(items: Column) -> Column:
+        return F.filter(
+            F.sequence(F.lit(0), F.size(items) - 1), lambda i: (i == 0) | starts_run(F.get(items, i), F.get(items, i - 1))
+        )
+
+    def slices(items: Column, at: Column) -> Column:
+        stop = lambda k: F.coalesce(F.get(at, k + 1), F.size(items))
+        return F.transform(at, lambda start, k: make(F.slice(items, start + 1, stop(k) - start)))
+
+    return bind(values, lambda items: F.when(F.size(items) > 0, bind(starts(items), lambda at: slices(items, at))))
+
+
+def term_positions(tokens: Column) -> Column:
+    """``array<struct<term, places>>`` of one token array: the 0-based positions of each distinct token, ascending."""
+    placed = F.sort_array(F.transform(tokens, lambda t, i: F.struct(t.alias("term"), i.alias("pos"))))
+    return runs(
+        placed,
+        lambda here, before: here["term"] != before["term"],
+        lambda run: F.struct(F.get(run, F.lit(0))["term"].alias("term"), F.transform(run, lambda x: x["pos"]).alias("places")),
+    )

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from chartloom.functions.scores import pooled
-from chartloom.functions.text import fill_null, space_tokens, term_counts
+from chartloom.functions.text import fill_null, runs, space_tokens, term_counts, term_positions
 from chartloom.operators.skew import HOT_ROWS, skewed_join
 from chartloom.operators.vocabulary import CLS_ID, PAD_ID, SEP_ID, UNK_ID, vocabulary
 
@@ -44,31 +44,41 @@ def sequence_windows(
 
     Sequence 0 is ``[CLS]`` + the first ``seq_len - 2`` ids + ``[SEP]``; the rest of the note
     follows in blocks of ``seq_len`` without special tokens. All are padded with zeros.
-    Tokens are grouped by (note, block), so no group exceeds ``seq_len`` rows however long
-    the note is. ``totals`` are the ``term_totals`` of the notes, if the caller has them.
+    A note sends each distinct term once, with the list of its positions, through the vocabulary join; the lists are then cut
+    at the borders of blocks and grouped by (note, block), so no group exceeds ``seq_len`` positions however long the note is.
+    ``totals`` is ``(term, count)`` with at least the count of every term above ``hot_rows``, if the caller has it: the ``term_totals`` of the
+    notes or a stored vocabulary made from them.
     """
     if seq_len < 3:
         raise ValueError(f"seq_len must be at least 3, got {seq_len}")
     columns = [*note_key, *keep]
-    first = seq_len - 2
-    tokens = notes.select(*columns, F.posexplode_outer(_words(text)).alias("pos", "term"))
+
+    def block(pos: Column) -> Column:
+        return F.when(pos < seq_len - 2, 0).otherwise(F.floor((pos - (seq_len - 2)) / seq_len) + 1).cast("int")
+
+    terms = notes.select(*columns, F.inline_outer(term_positions(_words(text))))
     coded = skewed_join(
-        tokens,
+        terms,
         vocab.select("term", "token_id"),
         ["term"],
         "left",
-        spread_by=[*note_key, "pos"],
-        freq=term_totals(notes, text) if totals is None else totals,
+        spread_by=note_key,
+        freq=term_totals(notes, text) if totals is None else totals.select("term", "count"),
         hot_rows=hot_rows,
-    ).select(
+    )
+    parts = runs(F.col("places"), lambda here, before: block(here) != block(before), lambda run: run)
+    cut = coded.select(*columns, F.coalesce("token_id", F.lit(UNK_ID)).alias("id"), F.explode_outer(parts).alias("places"))
+    placed = cut.select(
         *columns,
-        F.when(F.coalesce("pos", F.lit(0)) < first, 0)
-        .otherwise(F.floor((F.col("pos") - first) / seq_len) + 1)
-        .cast("int")
-        .alias("seq_idx"),
-        F.when(F.col("term").isNotNull(), F.struct("pos", F.coalesce("token_id", F.lit(UNK_ID)).alias("id"))).alias("item"),
+        F.coalesce(block(F.get("places", F.lit(0))), F.lit(0)).alias("seq_idx"),
+        F.when(F.col("places").isNotNull(), F.struct("id", "places")).alias("item"),  # null: a note without words
     )
-    blocks = coded.groupBy(*columns, "seq_idx").agg(F.sort_array(F.collect_list("item")).getField("id").alias("ids"))
+
+    def scattered(items: Column) -> Column:
+        pairs = F.transform(items, lambda x: F.transform(x["places"], lambda p: F.struct(p.alias("pos"), x["id"].alias("id"))))
+        return F.sort_array(F.flatten(pairs))["id"]
+
+    blocks = placed.groupBy(*columns, "seq_idx").agg(scattered(F.collect_list("item")).alias("ids"))
     cls, sep = F.array(F.lit(CLS_ID)), F.array(F.lit(SEP_ID))
     real = F.when(F.col("seq_idx") == 0, F.concat(cls, F.col("ids"), sep)).otherwise(F.col("ids"))
     sized = blocks.withColumn("real", real)

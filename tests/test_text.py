@@ -91,3 +91,14 @@ def test_term_counts_match_a_counter(spark):
 def test_term_counts_of_no_tokens(spark):
     df = spark.createDataFrame([([],)], "a array<string>")
     assert df.select(F.inline(tx.term_counts(F.col("a")))).count() == 0
+
+
+def test_term_positions_match_plain_lists(spark):
+    rng = random.Random(4)
+    values = [" ".join(rng.choice("abcde") for _ in range(rng.randint(1, 60))) for _ in range(40)]
+    got = column(spark, values, tx.term_positions(tx.space_tokens(F.col("t"))))
+    for value, runs in zip(values, got):
+        words = value.split(" ")
+        assert {r["term"]: r["places"] for r in runs} == {w: [k for k, v in enumerate(words) if v == w] for w in words}
+    empty = spark.createDataFrame([([],), (None,)], "a array<string>")
+    assert [r[0] for r in empty.select(tx.term_positions(F.col("a"))).collect()] == [None, None]

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from chartloom.functions import scores
 from chartloom.operators import windows
 from chartloom.operators.vocabulary import CLS_ID, PAD_ID, SEP_ID, UNK_ID
+from chartloom.session import cut_lineage
 
 L = 6
 
@@ -41,6 +42,19 @@ def test_rare_terms_become_unknown(spark):
     assert row["input_ids"] == [CLS_ID, 103, 103, UNK_ID, SEP_ID]
 
 
+def test_a_note_sends_each_distinct_term_once(spark):
+    """One word over thousands of positions and blocks; a stored vocabulary serves as the counts, so three exchanges remain."""
+    df = spark.createDataFrame([(1, "x " * 5000 + "y"), (2, "y x")], "note long, text string")
+    vocab = cut_lineage(windows.corpus_vocabulary(df))
+    ids = {r["term"]: r["token_id"] for r in vocab.collect()}
+    rows = windows.sequence_windows(df, ["note"], vocab, seq_len=L, totals=vocab, hot_rows=3)
+    got = {(r["note"], r["seq_idx"]): [i for i, m in zip(r["input_ids"], r["attn_mask"]) if m] for r in rows.collect()}
+    long = [i for k in range(1 + -(-(5001 - (L - 2)) // L)) for i in got[1, k]]
+    assert long == [CLS_ID, *[ids["x"]] * (L - 2), SEP_ID, *[ids["x"]] * (5000 - (L - 2)), ids["y"]]
+    assert got[2, 0] == [CLS_ID, ids["y"], ids["x"], SEP_ID] and max(map(len, got.values())) == L
+    assert rows._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 3
+
+
 def test_window_length_is_checked(notes):
     with pytest.raises(ValueError):
         windows.sequence_windows(notes, ["note"], windows.corpus_vocabulary(notes), seq_len=2)
