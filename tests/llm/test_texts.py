@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import base64
+import bz2
 import gzip
+import lzma
 import random
 import re
 import zlib
@@ -195,6 +197,92 @@ def test_cycles_and_bombs_end():
     assert secrets.all_spans(WRAPS["gzip"]("x" * 5000 + " " + SECRET))[1]
 
 
+def spans_of(text, **limits):
+    return [(s, kind, e) for s, kind, e in secrets.all_spans(text, **limits)[1]]
+
+
+def b64(data):
+    return base64.b64encode(data).decode()
+
+
+@pytest.mark.parametrize("pack", [gzip.compress, zlib.compress, bz2.compress, lzma.compress])
+@pytest.mark.parametrize("inner", [gzip.compress, zlib.compress, bz2.compress, lzma.compress])
+def test_streams_inside_streams_and_later_members(pack, inner):
+    run = b64(pack(inner(SECRET.encode())))
+    assert (3, 0, 3 + len(run)) in spans_of("é: " + run + " end")
+    if pack is not zlib.compress:
+        run = b64(pack(b"nothing here at all") + pack(b"still nothing ...") + pack(SECRET.encode()))
+        assert (0, 0, len(run)) in spans_of(run)  # xz may store short texts plainly, which shows a second, narrower span
+
+
+@pytest.mark.parametrize("prefix", ["/", "_", "-", "a/", "ab/", "abc/", "https://example.com/v1/", "key-", "x_y_"])
+@pytest.mark.parametrize("wrap", ["base64", "gzip"])
+def test_base64_behind_characters_of_its_own_alphabet(prefix, wrap):
+    run = WRAPS[wrap](SECRET)
+    hits = [(s, e) for s, kind, e in spans_of("see " + prefix + run) if kind == 0]
+    start = 4 + len(prefix)
+    # bytes straddle characters: a stream's first byte may begin in the character before
+    assert any(start - 1 <= s <= start and start + len(run.rstrip("=")) <= e + 1 for s, e in hits)
+
+
+def test_one_undecodable_unit_does_not_hide_its_run():
+    plain = SECRET.encode()
+    cases = {
+        "%00": "%00" + WRAPS["url"](SECRET) + "%ff",
+        "%ff%41%ff": "%ff%41%ff" + WRAPS["url"](SECRET),
+        "surrogate": "\\ud800" + WRAPS["unicode"](SECRET) + "\\udc00",
+        "control": b64(b"\x00\x01" + plain + b"\x00 and more\xff"),
+        "binary": b64(bytes(range(128, 256)) + plain + bytes(range(128, 256))),
+        "inflated": b64(gzip.compress(b"\x00\xff" * 50 + plain + b"\x00")),
+    }
+    for name, text in cases.items():
+        assert any(kind == 0 for _, kind, _ in spans_of(text)), name
+    (start, _, end), = spans_of(cases["%00"])
+    assert (start, end) == (3, 3 + 3 * len(plain))
+    (start, _, end), = spans_of(cases["surrogate"])
+    assert (start, end) == (6, 6 + 6 * len(plain))
+
+
+@pytest.mark.parametrize("width", [16, 64, 76])
+@pytest.mark.parametrize("line_end", ["\n", "\r\n", "\n   "])
+@pytest.mark.parametrize("packed", [False, True])
+def test_wrapped_base64_is_one_run(width, line_end, packed):
+    noise = bytes(random.Random(5).randrange(256) for _ in range(150))
+    data = noise + SECRET.encode()
+    run = b64(gzip.compress(data) if packed else b"n" * 30 + b" " + SECRET.encode())
+    text = line_end.join(run[k : k + width] for k in range(0, len(run), width))
+    hits = [(s, e) for s, kind, e in spans_of("key file:\n" + text + "\nend of it") if kind == 0]
+    assert any(s >= 10 and e >= 10 + len(text.rstrip("=")) - 4 for s, e in hits)
+
+
+def test_long_streams_are_read_in_windows():
+    """A secret at any place of a stream of many windows is found, at a border too, in streams inside streams too."""
+    for at in (0, 4095, 4090, 8192, 50_000):
+        data = b"." * at + b" " + SECRET.encode() + b" " + b"." * (60_000 - at)
+        for run in (b64(gzip.compress(data)), b64(bz2.compress(gzip.compress(data, 0)))):
+            assert (0, 0, len(run)) in spans_of(run, window=4096, overlap=256)
+    bomb = b64(gzip.compress(b"." * 5_000_000))
+    _, spans, _, unread = secrets.all_spans(SECRET + " " + bomb, most=2_000_000)
+    assert spans == [(0, 0, len(SECRET))] and unread == 1 and secrets.all_spans(bomb)[3] == 0
+
+
+def test_unread_streams_leave_the_text(spark):
+    bomb = b64(gzip.compress(b"." * 5_000_000 + SECRET.encode()))
+    frame = docs(spark, [(1, "before " + bomb + " after"), (2, PLAIN)])
+    assert [r.n_oversized for r in secrets.scan_secrets(frame, 1_000_000).orderBy("doc_id").collect()] == [1, 0]
+    red = {r.doc_id: r.text for r in secrets.redact_secrets(frame, 1_000_000).collect()}
+    assert red == {1: "before [unread] after", 2: PLAIN}
+    assert {r.doc_id: r.text for r in secrets.redact_secrets(frame).collect()}[1] == "before [assign] after"
+
+
+@given(st.binary(max_size=200))
+@settings(max_examples=200, deadline=None)
+def test_any_bytes_are_scanned_without_error(data):
+    for text in (b64(data), "/" + b64(data), "".join(f"%{b:02x}" for b in data), "".join(f"\\x{b:02x}" for b in data), b64(gzip.compress(data)[:-3])):
+        base, spans, _, _ = secrets.all_spans(text)
+        assert set(base) <= set(spans) and all(0 <= s < e <= len(text) for s, _, e in spans)
+
+
 def test_secret_edges(spark):
     rows = [*odd_rows(), (20, LONG + SECRET), (21, SECRET + " and token=12345678")]
     frame = with_clashes(docs(spark, rows))
