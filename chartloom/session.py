@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 from uuid import uuid4
 
@@ -86,21 +88,47 @@ def folder_exists(spark: SparkSession, path: str) -> bool:
     return system.exists(target)
 
 
+SHUFFLE_CLEANUP_KEY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def tidy_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Inside the block, the shuffle files of a query are deleted when it ends, not when the driver happens to collect garbage.
+
+    For queries of several steps that each end in a stored table, whose disk would otherwise hold the exchanges of all steps. A query of another
+    thread of this session that ends meanwhile is tidied too, which changes no result.
+    """
+    before = spark.conf.get(SHUFFLE_CLEANUP_KEY, None)
+    spark.conf.set(SHUFFLE_CLEANUP_KEY, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(SHUFFLE_CLEANUP_KEY)
+        else:
+            spark.conf.set(SHUFFLE_CLEANUP_KEY, before)
+
+
 class Scratch:
-    """Tables as ``cut_lineage`` writes them, deleted when the ``with`` block ends, for readers that end before it."""
+    """Tables as ``cut_lineage`` writes them, deleted on ``drop`` or when the ``with`` block ends, for readers that end before it."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.paths = spark, []
+        self.spark, self.tables = spark, []
 
     def __enter__(self) -> Scratch:
         return self
 
     def keep(self, df: DataFrame) -> DataFrame:
         stored, path = _stored(df)
-        self.paths.append(path)
+        self.tables.append((stored, path))
         return stored
 
-    def __exit__(self, *_) -> None:
-        for path in self.paths:
+    def drop(self, *stored: DataFrame) -> None:
+        """Delete these tables now: no reader is left."""
+        for _, path in (t for t in self.tables if any(t[0] is df for df in stored)):
             system, target = file_system(self.spark, path)
             system.delete(target, True)
+        self.tables = [t for t in self.tables if not any(t[0] is df for df in stored)]
+
+    def __exit__(self, *_) -> None:
+        self.drop(*(df for df, _ in self.tables))
