@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from chartloom.llm.common import _BYTE, _powers, map_batches, mix, only, pieces, table, utf8
-from chartloom.session import cut_lineage
+from chartloom.session import Scratch, cut_lineage, tidy_shuffles
 
 LENGTH, GRAM = 50, 20
 SPAN = LENGTH - GRAM + 1  # grams in a string
@@ -184,44 +184,50 @@ def _sorted_strings(classes: DataFrame) -> DataFrame:
     return map_batches(classes.repartition(F.col("gram")).sortWithinPartitions("gram"), run, "gram long, stretch long, mask long")
 
 
-def _aggregated_strings(classes: DataFrame) -> DataFrame:
+def _aggregated_strings(classes: DataFrame, tables: Scratch) -> DataFrame:
     """The same for grams with very many classes: strings meet in partial aggregates and joins that can be split."""
     each = F.posexplode(F.sequence(F.lit(1), F.col("count").cast("int")))
-    strings = cut_lineage(classes.select("gram", "stretch", "doc_id", "data", each.alias("number", "start")).select(
+    strings = tables.keep(classes.select("gram", "stretch", "doc_id", "data", each.alias("number", "start")).select(
         "gram", "stretch", "doc_id", "number", F.expr(f"substring(data, start, {LENGTH})").alias("string")
     ))
-    least = cut_lineage(strings.groupBy("string").agg(F.min("doc_id").alias("least")))
+    least = tables.keep(strings.groupBy("string").agg(F.min("doc_id").alias("least")))
     hit = strings.join(least, "string").filter("least < doc_id")
     return hit.groupBy("gram", "stretch").agg(F.bit_or(F.expr("shiftleft(1L, number)")).alias("mask"))
 
 
 def repeated_intervals(docs: DataFrame) -> DataFrame:
-    """``doc_id, start, stop``: bytes of each document that lie in strings which also start in an earlier one; may overlap."""
+    """``doc_id, start, stop``: bytes of each document that lie in strings which also start in an earlier one; may overlap.
+
+    Every step is stored for the next ones, and deleted with its exchanges as soon as they are done.
+    """
     docs = only(docs, "doc_id", "text").filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    sample = sampled(docs)
-    shared = cut_lineage(sample.groupBy("gram").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("gram"))
-    rows = cut_lineage(sample.join(shared, "gram"))
-    classes = cut_lineage(rows.groupBy("gram", "stretch").agg(F.min("doc_id").alias("owner"), F.min_by("first", "doc_id").alias("sample_first"), F.min("count").alias("n")))
-    # Several classes at a gram: their strings may agree in part.
-    sizes = classes.groupBy("gram").agg(F.count("*").alias("classes"), F.min("owner").alias("a"), F.max("owner").alias("b")).filter("classes > 1 AND a < b")
-    several = cut_lineage(classes.join(cut_lineage(sizes.select("gram", "classes")), "gram"))
-    wanted = several.select(F.col("owner").alias("doc_id"), F.col("sample_first").alias("first"), F.col("n").alias("count"), "gram", "stretch")
-    texts = cut_lineage(_stretches(docs, wanted))
-    few = texts.join(several.filter(F.col("classes") <= MOST_CLASSES).select("gram", "stretch"), ["gram", "stretch"])
-    masks = _sorted_strings(few)
-    many = several.filter(F.col("classes") > MOST_CLASSES).select("gram", "stretch")
-    if not many.isEmpty():
-        masks = masks.unionByName(_aggregated_strings(texts.join(many, ["gram", "stretch"])))
-    masks = cut_lineage(classes.select("gram", "stretch", "owner").join(masks, ["gram", "stretch"], "left"))
-    placed = rows.join(masks, ["gram", "stretch"])
-    # Strings marked in this row: all of them where the class has an earlier owner.
-    every = F.expr("shiftleft(1L, cast(count AS int)) - 1")
-    bits = F.when(F.col("doc_id") > F.col("owner"), every).otherwise(F.coalesce("mask", F.lit(0).cast("long")))
-    placed = placed.withColumn("bits", bits).filter("bits <> 0")
-    # Marked strings start less than 50 bytes apart, so those from the first to the last marked cover everything between.
-    low = F.floor(F.log2(F.col("bits").bitwiseAND(-F.col("bits")).cast("double"))).cast("int")
-    high = F.floor(F.log2(F.col("bits").cast("double"))).cast("int")
-    return placed.select("doc_id", (F.col("first") + low).alias("start"), (F.col("first") + high + LENGTH).alias("stop"))
+    with tidy_shuffles(docs.sparkSession), Scratch(docs.sparkSession) as tables:
+        sample = sampled(docs)
+        shared = tables.keep(sample.groupBy("gram").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("gram"))
+        rows = tables.keep(sample.join(shared, "gram"))
+        tables.drop(shared)
+        classes = tables.keep(rows.groupBy("gram", "stretch").agg(F.min("doc_id").alias("owner"), F.min_by("first", "doc_id").alias("sample_first"), F.min("count").alias("n")))
+        # Several classes at a gram: their strings may agree in part.
+        sizes = classes.groupBy("gram").agg(F.count("*").alias("classes"), F.min("owner").alias("a"), F.max("owner").alias("b")).filter("classes > 1 AND a < b")
+        several = tables.keep(classes.join(tables.keep(sizes.select("gram", "classes")), "gram"))
+        wanted = several.select(F.col("owner").alias("doc_id"), F.col("sample_first").alias("first"), F.col("n").alias("count"), "gram", "stretch")
+        texts = tables.keep(_stretches(docs, wanted))
+        few = texts.join(several.filter(F.col("classes") <= MOST_CLASSES).select("gram", "stretch"), ["gram", "stretch"])
+        found = tables.keep(_sorted_strings(few))
+        many = several.filter(F.col("classes") > MOST_CLASSES).select("gram", "stretch")
+        if not many.isEmpty():
+            found = found.unionByName(_aggregated_strings(texts.join(many, ["gram", "stretch"]), tables))
+        masks = tables.keep(classes.select("gram", "stretch", "owner").join(found, ["gram", "stretch"], "left"))
+        tables.drop(classes, several, texts)
+        placed = rows.join(masks, ["gram", "stretch"])
+        # Strings marked in this row: all of them where the class has an earlier owner.
+        every = F.expr("shiftleft(1L, cast(count AS int)) - 1")
+        bits = F.when(F.col("doc_id") > F.col("owner"), every).otherwise(F.coalesce("mask", F.lit(0).cast("long")))
+        placed = placed.withColumn("bits", bits).filter("bits <> 0")
+        # Marked strings start less than 50 bytes apart, so those from the first to the last marked cover everything between.
+        low = F.floor(F.log2(F.col("bits").bitwiseAND(-F.col("bits")).cast("double"))).cast("int")
+        high = F.floor(F.log2(F.col("bits").cast("double"))).cast("int")
+        return cut_lineage(placed.select("doc_id", (F.col("first") + low).alias("start"), (F.col("first") + high + LENGTH).alias("stop")))
 
 
 def dedup_substrings(docs: DataFrame) -> DataFrame:
