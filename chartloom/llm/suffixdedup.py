@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from chartloom.llm.common import _BYTE, _powers, map_batches, mix, only, pieces, table, utf8
@@ -86,20 +87,27 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def sampled(docs: DataFrame) -> DataFrame:
-    """``doc_id, first, count, gram, stretch`` of every sampled position."""
-    schema = pa.schema([("doc_id", pa.int64()), ("first", pa.int32()), ("count", pa.int8()), ("gram", pa.int64()), ("stretch", pa.int64())])
+_FIELDS = {"doc_id": "long", "first": "int", "count": "byte", "gram": "long", "stretch": "long"}
+
+
+def sampled(docs: DataFrame, *columns: str) -> DataFrame:
+    """``doc_id, first, count, gram, stretch``, or some of them, of every sampled position."""
+    names = columns or tuple(_FIELDS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces(batch, "text"):
                 s = Sample(piece.column("text"))
-                yield pa.RecordBatch.from_arrays(
-                    [piece.column("doc_id").take(pa.array(s.row)), pa.array(s.first, pa.int32()), pa.array(s.count, pa.int8()), _signed(s.gram), _signed(s.stretch)],
-                    schema=schema,
-                )
+                made = {
+                    "doc_id": lambda: piece.column("doc_id").take(pa.array(s.row)),  # noqa: B023
+                    "first": lambda: pa.array(s.first, pa.int32()),  # noqa: B023
+                    "count": lambda: pa.array(s.count, pa.int8()),  # noqa: B023
+                    "gram": lambda: _signed(s.gram),  # noqa: B023
+                    "stretch": lambda: _signed(s.stretch),  # noqa: B023
+                }
+                yield pa.RecordBatch.from_arrays([made[name]() for name in names], names=list(names))
 
-    return map_batches(docs, run, "doc_id long, first int, count byte, gram long, stretch long")
+    return map_batches(docs, run, ", ".join(f"{name} {_FIELDS[name]}" for name in names))
 
 
 def _stretches(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -202,9 +210,9 @@ def repeated_intervals(docs: DataFrame) -> DataFrame:
     """
     docs = only(docs, "doc_id", "text").filter("doc_id IS NOT NULL AND text IS NOT NULL")
     with tidy_shuffles(docs.sparkSession), Scratch(docs.sparkSession) as tables:
-        sample = sampled(docs)
-        shared = tables.keep(sample.groupBy("gram").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("gram"))
-        rows = tables.keep(sample.join(shared, "gram"))
+        shared = tables.keep(sampled(docs, "doc_id", "gram").groupBy("gram").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("gram"))
+        # Shared grams are distinct, so hashing spreads them evenly: a partition's part of them is small, and the sample need not be sorted.
+        rows = tables.keep(sampled(docs).join(shared.hint("shuffle_hash"), "gram"))
         tables.drop(shared)
         classes = tables.keep(rows.groupBy("gram", "stretch").agg(F.min("doc_id").alias("owner"), F.min_by("first", "doc_id").alias("sample_first"), F.min("count").alias("n")))
         # Several classes at a gram: their strings may agree in part.
@@ -230,32 +238,52 @@ def repeated_intervals(docs: DataFrame) -> DataFrame:
         return cut_lineage(placed.select("doc_id", (F.col("first") + low).alias("start"), (F.col("first") + high + LENGTH).alias("stop")))
 
 
+def without(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Rows of ``doc_id, text, found`` without the bytes in their ``found`` intervals, all texts as one array of bytes."""
+    data, offsets = utf8(batch.column("text"))
+    size, n = np.diff(offsets), batch.num_rows
+    found = batch.column("found")
+    owner = np.repeat(np.arange(n), np.asarray(pc.fill_null(pc.list_value_length(found), 0)))
+    items = found.flatten()
+    start, stop = (np.asarray(pc.struct_field(items, name), dtype=np.int64) + offsets[owner] for name in ("start", "stop"))
+    order = np.argsort(start, kind="stable")
+    start, owner, reach = start[order], owner[order], np.maximum.accumulate(stop[order])
+    # A run of overlapping or touching intervals begins where nothing before reaches, or with the next text.
+    new = np.ones(len(start), bool)
+    new[1:] = (start[1:] > reach[:-1]) | (owner[1:] != owner[:-1])
+    heads = np.flatnonzero(new)
+    low, owner = start[heads], owner[heads]
+    high = reach[np.append(heads[1:], len(start))[: len(heads)] - 1]
+    edge = np.zeros(len(data) + 1, np.int8)
+    edge[low] += 1
+    edge[high] -= 1
+    kept = data[np.cumsum(edge[:-1], dtype=np.int8) == 0]
+    removed = np.bincount(owner, weights=high - low, minlength=n).astype(np.int64)
+    spans = np.bincount(owner, minlength=n).astype(np.int64)
+    ends = lambda x: np.concatenate([[0], np.cumsum(x)]).astype(np.int32)
+    runs = pa.StructArray.from_arrays([pa.array((x - offsets[owner]).astype(np.int32)) for x in (low, high)], names=["start", "stop"])
+    return pa.RecordBatch.from_arrays(
+        [
+            batch.column("doc_id"),
+            pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends(size - removed)), pa.py_buffer(np.ascontiguousarray(kept))]),
+            pa.array(size.astype(np.int64)), pa.array(removed), pa.array(spans),
+            pa.ListArray.from_arrays(pa.array(ends(spans)), runs),
+        ],
+        names=["doc_id", "kept", "n_bytes", "n_removed", "n_spans", "spans"],
+    )
+
+
 def dedup_substrings(docs: DataFrame) -> DataFrame:
     """``doc_id, kept`` (bytes left), ``n_bytes, n_removed, n_spans`` and ``spans`` (removed runs) of every row."""
     docs = only(docs, "doc_id", "text")
     gone = repeated_intervals(docs).groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list(F.struct("start", "stop")).alias("found"))
     joined = docs.join(gone, docs["doc_id"] == gone["_doc"], "left").select("doc_id", "text", "found")
     schema = "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long, spans array<struct<start:int,stop:int>>"
-    span = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for text, found in zip(batch.column("text").to_pylist(), batch.column("found").to_pylist()):
-                data, runs = (text or "").encode(), []
-                for a, b in sorted((f["start"], f["stop"]) for f in found or ()):
-                    if runs and a <= runs[-1][1]:
-                        runs[-1][1] = max(runs[-1][1], b)
-                    else:
-                        runs.append([a, b])
-                cuts = [0, *(x for r in runs for x in r), len(data)]
-                kept = b"".join(data[a:b] for a, b in zip(cuts[::2], cuts[1::2]))
-                out.append((kept, len(data), len(data) - len(kept), len(runs), [{"start": a, "stop": b} for a, b in runs]))
-            kept, size, removed, n, spans = zip(*out) if out else ((),) * 5
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(kept, pa.binary()), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(n, pa.int64()), pa.array(spans, span)],
-                names=["doc_id", "kept", "n_bytes", "n_removed", "n_spans", "spans"],
-            )
+            for piece in pieces(batch, "text"):
+                yield without(piece)
 
     return map_batches(joined, run, schema)
 

@@ -359,3 +359,25 @@ def test_damaged_blocks_are_noticed(tmp_path):
     data[40] ^= 1
     with pytest.raises(ValueError, match="damaged"):
         list(tokenfile.read_token_file(pa.BufferReader(bytes(data))))
+
+
+def test_bytes_without_intervals_equal_plain_cuts():
+    rng = random.Random(17)
+    texts = [None, "", "é" * 20, *("".join(rng.choice("abé中") for _ in range(rng.randint(0, 60))) for _ in range(30))]
+    found = []
+    for t in texts:
+        size = len((t or "").encode())
+        cuts = [sorted((rng.randint(0, size), rng.randint(0, size))) for _ in range(rng.randint(0, 5))]
+        found.append([{"start": a, "stop": b} for a, b in cuts if a < b] or rng.choice([None, []]))
+    found[2] = [{"start": 30, "stop": 40}, {"start": 0, "stop": 3}, {"start": 3, "stop": 5}]
+    for first in (0, 2):  # a slice too
+        batch = pa.RecordBatch.from_arrays(
+            [pa.array(range(len(texts))), pa.array(texts, pa.string()), pa.array(found, pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])))],
+            names=["doc_id", "text", "found"],
+        ).slice(first)
+        for r, t, cuts in zip(suffixdedup.without(batch).to_pylist(), texts[first:], found[first:]):
+            data = (t or "").encode()
+            gone = {k for c in cuts or () for k in range(c["start"], c["stop"])}
+            starts = sorted(k for k in gone if k - 1 not in gone)
+            assert r["kept"] == bytes(x for k, x in enumerate(data) if k not in gone) and r["n_bytes"] == len(data)
+            assert r["n_removed"] == len(gone) and r["n_spans"] == len(starts) and [s["start"] for s in r["spans"]] == starts
