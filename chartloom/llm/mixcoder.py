@@ -1,10 +1,12 @@
 """Adaptive context-mixing arithmetic coder for token ids, many independent blocks at a time.
 
 Every block starts from the same state, so blocks are coded in lockstep: step t codes the t-th id of all blocks with
-numpy. Orders 2 and 1 predict an id from the last two ids or the last one (a table of hashed contexts with confidences). Their adaptive
-hit rates and the order-0 hit rate are mixed in the logistic domain, with weights learned as coding goes on, into the chance that the
-best prediction is right; that one binary decision is coded. Missed ids take their order-0 distribution over bit lengths, adaptive too,
-and then their lower bits. The coder is carryless, with 64-bit bounds and 32-bit words. All model arithmetic is in integers, so any machine decodes alike.
+numpy. Inside a block, ids are numbered by their first occurrence. Orders 2 and 1 predict the next number from the last two or the last
+one (tables of contexts with confidences). The chances that order 2, order 1 and order 0 (counts of the block so far) give to the
+predicted number, and the hit rate so far, are mixed in the logistic domain with weights learned as coding goes on; that one binary
+decision is coded. A missed id is coded by the order-0 counts without the prediction. An id new to the block is an escape there, with a
+count of its own; then follow its bit length, by adaptive frequencies, and its lower bits.
+The coder is carryless, with 64-bit bounds and 32-bit words. All model arithmetic is in integers, so any machine decodes alike.
 """
 
 from __future__ import annotations
@@ -12,8 +14,8 @@ from __future__ import annotations
 import numpy as np
 
 BLOCK_IDS = 4096
-_BITS2, _BITS1 = 11, 10  # table sizes of the orders
-_CLASSES = 18  # bit lengths of id + 1 below 2**17, one spare
+_BITS2, _BITS1 = 12, 12  # table sizes of the orders
+_CLASSES = 33  # bit lengths of id + 1
 _RATE = 5
 
 # Logistic stretch (12-bit chance to -2047..2047) and squash (its inverse), as integers.
@@ -28,22 +30,67 @@ for _c in range(_CLASSES):
 _START = (np.arange(_CLASSES) * (65536 // _CLASSES)).astype(np.int32)
 
 
+class _Counts:
+    """Order 0: how often each number occurred in each of n blocks; number 0 is the escape. Numbers lie in rows, so sums run over one column of rows and one row."""
+
+    def __init__(self, n: int, size: int):
+        self.side = int(np.ceil(np.sqrt(size + 1)))
+        kind = np.int16 if 2 * size + 1 < 1 << 15 else np.int32  # no sum exceeds 2 * size + 1
+        self.fine = np.zeros((n * self.side, self.side), kind)
+        self.coarse = np.zeros((n, self.side), kind)
+        self.total = np.ones(n, np.int32)
+        self.coarse[:, 0] = 1
+        self.fine[np.arange(n) * self.side, 0] = 1
+        self.less = np.tri(self.side, self.side, -1, dtype=kind)
+
+    def of(self, lanes: np.ndarray, number: np.ndarray) -> np.ndarray:
+        row, column = np.divmod(number, self.side)
+        return self.fine[lanes * self.side + row, column].astype(np.int64)
+
+    def before(self, lanes: np.ndarray, number: np.ndarray) -> np.ndarray:
+        """The sum over smaller numbers."""
+        row, column = np.divmod(number, self.side)
+        rows = np.einsum("ij,ij->i", self.coarse[lanes], self.less[row])
+        return (rows + np.einsum("ij,ij->i", self.fine[lanes * self.side + row], self.less[column])).astype(np.int64)
+
+    def find(self, lanes: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The number whose share holds ``value``, the sum over smaller numbers, and its count."""
+        at, value = np.arange(len(lanes)), value.astype(self.fine.dtype)
+        counts = self.coarse[lanes]
+        ends = counts.cumsum(axis=1, dtype=counts.dtype)
+        row = (ends > value[:, None]).argmax(axis=1)
+        first = ends[at, row] - counts[at, row]
+        counts = self.fine[lanes * self.side + row]
+        ends = counts.cumsum(axis=1, dtype=counts.dtype)
+        column = (ends > (value - first)[:, None]).argmax(axis=1)
+        count = counts[at, column].astype(np.int64)
+        return row * self.side + column, first + ends[at, column] - count, count
+
+    def add(self, lanes: np.ndarray, number: np.ndarray, by: np.ndarray) -> None:
+        row, column = np.divmod(number, self.side)
+        self.fine[lanes * self.side + row, column] += by.astype(self.fine.dtype)
+        self.coarse[lanes, row] += by.astype(self.fine.dtype)
+        self.total[lanes] += by.astype(np.int32)
+
+
 class _Model:
-    """State of n blocks."""
+    """State of n blocks of at most ``size`` ids."""
 
-    def __init__(self, n: int):
+    def __init__(self, n: int, size: int):
         self.n = n
-        # id << 4 | confidence: one memory access for both
+        # number << 4 | confidence: one memory access for both
         self.tables = [np.zeros(n << bits, np.uint32) for bits in (_BITS1, _BITS2)]
         self.rate = np.full(n * 48, 1024, np.int32)  # hit rates in 1/4096 by order and confidence
-        self.weight = np.full((3, n), 90, np.int32)  # in 1/256
+        self.weight = np.full((4, n), 70, np.int32)  # in 1/256
+        self.counts = _Counts(n, size)
         self.cdf = np.tile(_START, (n, 1))
         self.last, self.before = np.zeros(n, np.uint32), np.zeros(n, np.uint32)
-        self.rows = np.arange(n) * 48
-        self.base = [np.arange(n) << bits for bits in (_BITS1, _BITS2)]
+        self.lanes = np.arange(n)
+        self.rows = self.lanes * 48
+        self.base = [self.lanes << bits for bits in (_BITS1, _BITS2)]
 
     def predict(self, m: int) -> tuple[np.ndarray, np.ndarray]:
-        """For the first m blocks: the id predicted and its chance in 1/4096."""
+        """For the first m blocks: the number predicted (0: none) and its chance in 1/4096."""
         last = self.last[:m]
         h1 = (last * np.uint32(0x9E3779B1)) >> np.uint32(32 - _BITS1)
         h2 = (self.before[:m] * np.uint32(0x9E3779B1) + last * np.uint32(0x85EBCA6B)) >> np.uint32(32 - _BITS2)
@@ -51,24 +98,34 @@ class _Model:
         held = [self.tables[k][self.at[k]] for k in (0, 1)]
         self.p, self.c = [x >> np.uint32(4) for x in held], [x & np.uint32(15) for x in held]
         known = self.c[1] > 0
-        guess = np.where(known, self.p[1], self.p[0])
+        guess = np.where(known, self.p[1], self.p[0]).astype(np.int64)
+        self.guess = guess
         self.r = [self.rows[:m], self.rows[:m] + 16 + self.c[0], self.rows[:m] + 32 + self.c[1]]
         self.q = [self.rate[at] for at in self.r]
-        s0, s1, s2 = (STRETCH[q] for q in self.q)
+        hits, s1, s2 = (STRETCH[q] for q in self.q)
         s1 = np.where(self.p[0] == guess, s1, np.minimum(-s1, 0))
         s2 *= known
-        self.s = (s0, s1, s2)
-        mixed = (self.weight[0, :m] * s0 + self.weight[1, :m] * s1 + self.weight[2, :m] * s2) >> 8
-        self.chance = SQUASH[np.maximum(np.minimum(mixed, 2047), -2047) + 2047]
+        self.share = self.counts.of(self.lanes[:m], guess) * (guess > 0)
+        s0 = STRETCH[(self.share << 12) // (self.counts.total[:m] + 1)]
+        self.s = (s0, s1, s2, hits)
+        w = self.weight
+        mixed = (w[0, :m] * s0 + w[1, :m] * s1 + w[2, :m] * s2 + w[3, :m] * hits) >> 8
+        chance = SQUASH[np.maximum(np.minimum(mixed, 2047), -2047) + 2047]
+        self.chance = np.where(guess > 0, chance, 1)
         return guess, self.chance
 
-    def update(self, ids: np.ndarray, hit: np.ndarray) -> None:
-        m = len(ids)
-        right = [p == ids for p in self.p]
+    def without_guess(self, lanes: np.ndarray, sign: int) -> None:
+        """Take the counts of the predictions away (sign -1) or put them back (1)."""
+        self.counts.add(lanes, self.guess[lanes], sign * self.share[lanes])
+
+    def update(self, numbers: np.ndarray, hit: np.ndarray, fresh: np.ndarray) -> None:
+        """``fresh``: the blocks in which the number is new."""
+        m = len(numbers)
+        right = [p == numbers for p in self.p]
         for at, q, yes in zip(self.r, self.q, (hit, *right)):
             self.rate[at] = q + ((yes * np.int32(4095) - q + yes) >> 5)
-        error = hit * np.int32(4095) - self.chance
-        for k in range(3):
+        error = np.where(self.guess > 0, hit * np.int32(4095) - self.chance, 0)
+        for k in range(4):
             w = self.weight[k, :m]
             w += (self.s[k] * error) >> 17
             np.minimum(w, 2048, out=w)
@@ -76,8 +133,12 @@ class _Model:
         for k in (0, 1):
             yes, c = right[k], self.c[k]
             sure = np.where(yes, np.minimum(c + np.uint32(1), np.uint32(15)), np.maximum(c >> np.uint32(1), np.uint32(1)))
-            self.tables[k][self.at[k]] = np.where(yes | (c > 1), self.p[k], ids) << np.uint32(4) | sure
-        self.before[:m], self.last[:m] = self.last[:m], ids
+            self.tables[k][self.at[k]] = np.where(yes | (c > 1), self.p[k], numbers) << np.uint32(4) | sure
+        by = np.full(m, 2)
+        by[fresh] = 1
+        self.counts.add(self.lanes[:m], numbers, by)
+        self.counts.add(fresh, np.zeros(len(fresh), np.int64), np.ones(len(fresh), np.int64))
+        self.before[:m], self.last[:m] = self.last[:m], numbers
 
     def seen(self, lanes: np.ndarray, kind: np.ndarray) -> None:
         c = self.cdf[lanes]
@@ -93,12 +154,17 @@ class _Coder:
     def __init__(self, n: int):
         self.low, self.high = np.zeros(n, np.uint64), np.full(n, 2**64 - 1, np.uint64)
 
-    def step(self, lanes, bits: int) -> tuple[np.ndarray, np.ndarray]:
-        """Lower bounds and the width of one of ``2**bits`` parts."""
+    def step(self, lanes, bits) -> tuple[np.ndarray, np.ndarray]:
+        """Lower bounds and the width of one of ``2**bits`` parts; at most 2**26 parts."""
         low, high = self.low[lanes], self.high[lanes]
-        width = (high - low) >> np.uint64(bits)
+        width = (high - low) >> np.asarray(bits).astype(np.uint64)
         return low, width
 
+    def split(self, lanes, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for any number of parts."""
+        low = self.low[lanes]
+        return low, (self.high[lanes] - low) // parts.astype(np.uint64)
+
     def narrow(self, lanes, low, width, first, count) -> None:
         """Keep ``count`` parts from part ``first`` on."""
         low = low + width * first.astype(np.uint64)
@@ -144,13 +210,52 @@ class _Reader(_Coder):
         self.code[lanes] = (self.code[lanes] << _W) | self.words[lanes, np.minimum(self.count[lanes], self.words.shape[1] - 1)]
         self.count[lanes] += 1
 
-    def part(self, lanes, low, width, bits: int) -> np.ndarray:
-        return np.minimum((self.code[lanes] - low) // width, np.uint64((1 << bits) - 1)).astype(np.int64)
+    def part(self, lanes, low, width, parts) -> np.ndarray:
+        return np.minimum((self.code[lanes] - low) // width, np.asarray(parts).astype(np.uint64) - np.uint64(1)).astype(np.int64)
 
 
 def _kinds(ids: np.ndarray) -> np.ndarray:
     """Bit length of id + 1, less one."""
-    return np.frexp((ids + 1).astype(np.float64))[1] - 1
+    return np.frexp((ids + 1).astype(np.float64))[1].astype(np.int64) - 1
+
+
+def _halves(kind: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Shift and width of the lower bits, upper half first: a step takes at most 16 bits."""
+    low = np.minimum(kind, 16)
+    return [(low, kind - low), (np.zeros_like(kind), low)]
+
+
+def _ends(cdf: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    rows = np.arange(len(kind))
+    last = np.where(kind + 1 < _CLASSES, cdf[rows, np.minimum(kind + 1, _CLASSES - 1)], 65536)
+    return cdf[rows, kind], last
+
+
+def _put_new(model: _Model, out: _Writer, lanes: np.ndarray, ids: np.ndarray) -> None:
+    kind = _kinds(ids)
+    first, last = _ends(model.cdf[lanes], kind)
+    low, width = out.step(lanes, 16)
+    out.narrow(lanes, low, width, first, last - first)
+    for shift, bits in _halves(kind):
+        low, width = out.step(lanes, bits)
+        out.narrow(lanes, low, width, ((ids + 1 - (1 << kind)) >> shift) & ((1 << bits) - 1), np.ones(len(lanes), np.int64))
+    model.seen(lanes, kind)
+
+
+def _get_new(model: _Model, source: _Reader, lanes: np.ndarray) -> np.ndarray:
+    low, width = source.step(lanes, 16)
+    cdf = model.cdf[lanes]
+    kind = (cdf <= source.part(lanes, low, width, 1 << 16)[:, None]).sum(axis=1) - 1
+    first, last = _ends(cdf, kind)
+    source.narrow(lanes, low, width, first, last - first)
+    ids = (1 << kind) - 1
+    for shift, bits in _halves(kind):
+        low, width = source.step(lanes, bits)
+        value = source.part(lanes, low, width, 1 << bits)
+        source.narrow(lanes, low, width, value, np.ones(len(lanes), np.int64))
+        ids = ids + (value << shift)
+    model.seen(lanes, kind)
+    return ids
 
 
 def _active(sizes: np.ndarray) -> np.ndarray:
@@ -158,36 +263,40 @@ def _active(sizes: np.ndarray) -> np.ndarray:
     return len(sizes) - np.searchsorted(sizes[::-1], np.arange(sizes[0] if len(sizes) else 0), side="right")
 
 
+def _numbered(block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids as numbers from 1 by first occurrence, and where each occurs first."""
+    _, first, which = np.unique(block, return_index=True, return_inverse=True)
+    number = np.empty(len(first), np.int64)
+    number[np.argsort(first)] = np.arange(1, len(first) + 1)
+    return number[which], first
+
+
 def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
-    """Code every block on its own; ids must be below 2**17 - 1."""
+    """Code every block of unsigned 32-bit ids on its own."""
     order = sorted(range(len(blocks)), key=lambda k: -len(blocks[k]))
     sizes = np.array([len(blocks[k]) for k in order], dtype=np.int64)
-    n = len(order)
-    ids = np.zeros((max(1, int(sizes.max(initial=0))), n), np.uint32)
+    n, longest = len(order), max(1, int(sizes.max(initial=0)))
+    ids, numbers, new = np.zeros((longest, n), np.int64), np.zeros((longest, n), np.int64), np.zeros((longest, n), bool)
     for lane, k in enumerate(order):
         ids[: sizes[lane], lane] = blocks[k]
-    model, out = _Model(n), _Writer(n, 1024)
+        numbers[: sizes[lane], lane], first = _numbered(blocks[k])
+        new[first, lane] = True
+    model, out = _Model(n, longest), _Writer(n, 1024)
     for t, m in enumerate(_active(sizes).tolist()):
-        x = ids[t, :m]
+        x = numbers[t, :m]
         guess, chance = model.predict(m)
         hit = x == guess
         low, width = out.step(slice(0, m), 12)
         out.narrow(slice(0, m), low, width, np.where(hit, 0, chance), np.where(hit, chance, 4096 - chance))
         miss = np.flatnonzero(~hit)
+        fresh = np.flatnonzero(new[t, :m])
         if len(miss):
-            y = x[miss]
-            kind = _kinds(y)
-            cdf = model.cdf[miss]
-            rows = np.arange(len(miss))
-            first = cdf[rows, kind]
-            last = np.where(kind + 1 < _CLASSES, cdf[rows, np.minimum(kind + 1, _CLASSES - 1)], 65536)
-            low, width = out.step(miss, 16)
-            out.narrow(miss, low, width, first, last - first)
-            low, _ = out.step(miss, 0)
-            width = (out.high[miss] - low) >> kind.astype(np.uint64)
-            out.narrow(miss, low, width, (y + 1) - (1 << kind), np.ones(len(miss), np.int64))
-            model.seen(miss, kind)
-        model.update(x, hit)
+            y, share = np.where(new[t, miss], 0, x[miss]), model.share[miss]
+            low, width = out.split(miss, model.counts.total[miss] - share)
+            out.narrow(miss, low, width, model.counts.before(miss, y) - share * (guess[miss] < y), model.counts.of(miss, y))
+        if len(fresh):
+            _put_new(model, out, fresh, ids[t, fresh])
+        model.update(x, hit, fresh)
     coded: list[bytes] = [b""] * n
     # Two words that lie inside the last interval end a block.
     for lane, k in enumerate(order):
@@ -202,39 +311,38 @@ def decode_blocks(coded: list[bytes], counts: list[int]) -> list[np.ndarray]:
     """The ids of every block, given how many there are."""
     order = sorted(range(len(coded)), key=lambda k: -counts[k])
     sizes = np.array([counts[k] for k in order], dtype=np.int64)
-    n = len(order)
+    n, longest = len(order), max(1, int(sizes.max(initial=0)))
     words = np.zeros((n, max([2, *(len(c) // 4 + 2 for c in coded)])), np.uint32)
     for lane, k in enumerate(order):
         w = np.frombuffer(coded[k], "<u4")
         words[lane, : len(w)] = w
-    ids = np.zeros((max(1, int(sizes.max(initial=0))), n), np.uint32)
-    model, source = _Model(n), _Reader(words)
+    numbers = np.zeros((longest, n), np.int64)
+    known, size = np.zeros((n, longest + 1), np.uint32), np.zeros(n, np.int64)  # ids by number
+    model, source = _Model(n, longest), _Reader(words)
     for t, m in enumerate(_active(sizes).tolist()):
         guess, chance = model.predict(m)
         every = slice(0, m)
         low, width = source.step(every, 12)
-        hit = source.part(every, low, width, 12) < chance
+        hit = source.part(every, low, width, 4096) < chance
         source.narrow(every, low, width, np.where(hit, 0, chance), np.where(hit, chance, 4096 - chance))
         x = guess.copy()
         miss = np.flatnonzero(~hit)
+        fresh = miss[:0]
         if len(miss):
-            low, width = source.step(miss, 16)
-            value = source.part(miss, low, width, 16)
-            cdf = model.cdf[miss]
-            kind = (cdf <= value[:, None]).sum(axis=1) - 1
-            rows = np.arange(len(miss))
-            first = cdf[rows, kind]
-            last = np.where(kind + 1 < _CLASSES, cdf[rows, np.minimum(kind + 1, _CLASSES - 1)], 65536)
-            source.narrow(miss, low, width, first, last - first)
-            low, _ = source.step(miss, 0)
-            width = (source.high[miss] - low) >> kind.astype(np.uint64)
-            value = np.minimum((source.code[miss] - low) // width, (np.uint64(1) << kind.astype(np.uint64)) - np.uint64(1)).astype(np.int64)
-            source.narrow(miss, low, width, value, np.ones(len(miss), np.int64))
-            x[miss] = value + (1 << kind) - 1
-            model.seen(miss, kind)
-        model.update(x, hit)
-        ids[t, :m] = x
+            model.without_guess(miss, -1)
+            parts = model.counts.total[miss]
+            low, width = source.split(miss, parts)
+            x[miss], first, count = model.counts.find(miss, source.part(miss, low, width, parts))
+            source.narrow(miss, low, width, first, count)
+            model.without_guess(miss, 1)
+            fresh = miss[x[miss] == 0]
+        if len(fresh):
+            size[fresh] += 1
+            x[fresh] = size[fresh]
+            known[fresh, size[fresh]] = _get_new(model, source, fresh)
+        model.update(x, hit, fresh)
+        numbers[t, :m] = x
     out: list[np.ndarray] = [np.zeros(0, np.uint32)] * n
     for lane, k in enumerate(order):
-        out[k] = ids[: sizes[lane], lane].copy()
+        out[k] = known[lane, numbers[: sizes[lane], lane]]
     return out

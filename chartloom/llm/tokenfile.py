@@ -3,7 +3,7 @@
 Documents are range-partitioned and sorted by ``doc_id``; each task writes one file, whose rows in the written
 table of files (path, first id, counts) say which attempts count: files of failed attempts are never read.
 
-A file is ``TOKMIX1\\n``, then blocks, then the document index, then its place. A block: id count, byte count and crc32 of the
+A file is ``TOKMIX2\\n``, then blocks, then the document index, then its place. A block: id count, byte count and crc32 of the
 coded bytes (unsigned 32-bit little-endian), coded bytes. Blocks hold 4,096 ids, are reset and checked on their own, and run across
 documents. The index: compressed ``doc_id``, null mark and id count of each document, with a crc32.
 
@@ -39,7 +39,7 @@ BYTE_BPE = "byte_bpe_50k.json"
 END_ID = 2
 LANES = 1024  # blocks coded together
 MOST_KNOWN = 300_000
-MAGIC = b"TOKMIX1\n"
+MAGIC = b"TOKMIX2\n"
 
 
 class PieceTokenizer:
