@@ -7,14 +7,21 @@ first; records that the pushed predicates (equality or membership on header colu
 are decoded only on request (option ``payload``). Foreign archives, plain or gzipped, without manifest or skip lengths, are read too.
 Paths go through pyarrow's file systems, so any shared store it knows will do.
 
+Damage: stray bytes, a record cut short, a wrong checksum or size, and a payload unlike its SHA-256 digest are errors that name the
+file and the byte. With option ``damaged`` set to ``mark`` the reader goes on at the next whole record header and gives one row
+of type ``damaged`` for what it passed over (``http_length``: how many bytes), or for the record whose digest differs (``record_id`` kept).
+Records that are passed over without decoding are checked for their place and size only.
+
 Cases: null payload counts as empty, null ``page_id`` gives a record without id that nothing refers to; null url gives no target header. Repeated
 rows give repeated records. An empty table gives an archive without records. Control characters of a url are percent-encoded.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 import posixpath
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -72,7 +79,10 @@ def member(data: bytes, level: int = 3) -> bytes:
     box = zlib.compressobj(level, zlib.DEFLATED, -15)
     body = box.compress(data) + box.flush()
     size = 24 + len(body) + 8
-    head = b"\x1f\x8b\x08\x04\0\0\0\0\0\xff" + struct.pack("<H2sHII", 12, b"sl", 8, size & 0xFFFFFFFF, len(data) & 0xFFFFFFFF)
+    if max(size, len(data)) < 1 << 32:
+        head = b"\x1f\x8b\x08\x04\0\0\0\0\0\xff" + struct.pack("<H2sHII", 12, b"sl", 8, size, len(data))
+    else:  # the field cannot hold it
+        head = b"\x1f\x8b\x08\0\0\0\0\0\0\xff"
     return head + body + struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF)
 
 
@@ -82,11 +92,23 @@ def parsed(head: bytes) -> dict[str, str]:
     return {name.strip().lower(): value.strip() for name, sep, value in pairs if sep}
 
 
+def damaged_payload(headers: dict[str, str], http: dict[str, str], body: bytes) -> bool:
+    """Whether the payload of a response has another SHA-256 than its header says; other kinds of digests are not checked."""
+    name, _, value = headers.get("warc-payload-digest", "").partition(":")
+    if headers.get("warc-type") != "response" or name.lower() != "sha256" or not re.fullmatch("[0-9a-fA-F]{64}", value):
+        return False
+    return "transfer-encoding" not in http and hashlib.sha256(body).hexdigest() != value.lower()
+
+
+class Damaged(ValueError):
+    """The bytes at this place are no whole record."""
+
+
 class Archive:
     """Sequential reader of one archive: headers first, then the block or a jump to the next record."""
 
-    def __init__(self, file: pa.NativeFile):
-        self.file, self.size = file, file.size()
+    def __init__(self, file: pa.NativeFile, mark: bool = False):
+        self.file, self.size, self.mark = file, file.size(), mark
         self.window, self.window_at = b"", 0
         self.gzipped = self._read(2, 0) == b"\x1f\x8b"
         self.decoded = 0  # plain bytes of blocks worked out
@@ -104,35 +126,73 @@ class Archive:
         """Headers and block of each record; ``wanted(headers)``: None to pass over it, else whether its block is needed."""
         at = 0
         while at < self.size:
-            at, headers, block = (self._zipped if self.gzipped else self._plain)(at, wanted)
+            try:
+                at, headers, block = (self._zipped if self.gzipped else self._plain)(at, wanted)
+            except (Damaged, zlib.error) as error:
+                if not self.mark:
+                    raise Damaged(f"damaged record at byte {at}: {error}") from error
+                lead = self._read(HEAD, at)
+                after = self._next(at + len(lead) - len(lead.lstrip(b"\r\n")) + 1)
+                headers, block, at = {"warc-type": "damaged", "content-length": str(after - at)}, None, after
+                if wanted(headers) is None:
+                    continue
             if headers is not None:
                 yield headers, block
 
+    def _next(self, at: int) -> int:
+        """The next place that looks like the start of a record."""
+        sign = b"\x1f\x8b\x08" if self.gzipped else b"WARC/1."
+        while at < self.size:
+            data = self._read(WINDOW, at)
+            found = data.find(sign)
+            if found < 0:
+                at += max(1, len(data) - len(sign) + 1)
+                continue
+            at += found
+            try:
+                if not self.gzipped or zlib.decompressobj(31).decompress(self._read(HEAD, at)).startswith(b"WARC/"):
+                    return at
+            except zlib.error:
+                pass
+            at += 1
+        return self.size
+
+    def _headers(self, plain: bytes) -> tuple[dict[str, str], int, int]:
+        """Headers, where they end, and the length of the block."""
+        stop = plain.find(b"\r\n\r\n")
+        if stop < 0 or not plain.startswith(b"WARC/"):
+            raise Damaged("no record header")
+        headers = parsed(plain[:stop])
+        length = headers.get("content-length", "")
+        if not (length.isascii() and length.isdigit()):
+            raise Damaged("no length of the block")
+        return headers, stop + 4, int(length)
+
     def _plain(self, at: int, wanted):
         data = b""
-        while b"\r\n\r\n" not in data:
+        while b"\r\n\r\n" not in data.lstrip(b"\r\n"):
             more = self._read(max(HEAD, len(data)), at + len(data))
             if not more:
-                return self.size, None, None
+                break
             data += more
         head = data.lstrip(b"\r\n")
-        skipped = len(data) - len(head)
-        stop = head.find(b"\r\n\r\n")
-        if stop < 0:
-            return at + max(1, skipped), None, None
-        headers = parsed(head[:stop])
-        start, length = at + skipped + stop + 4, int(headers.get("content-length", 0))
+        if not head:
+            return self.size, None, None
+        headers, stop, length = self._headers(head)
+        start = at + len(data) - len(head) + stop
+        if start + length > self.size:
+            raise Damaged("cut short")
         need = wanted(headers)
         block = None
         if need:
             block = self._read(length, start)
             self.decoded += length
-        return start + length + 4, headers if need is not None else None, block
+        return start + length, headers if need is not None else None, block
 
     def _zipped(self, at: int, wanted):
         first = self._read(HEAD, at)
         if len(first) < 18 or first[:2] != b"\x1f\x8b":
-            return self.size, None, None
+            raise Damaged("no gzip member")
         length = None
         if first[3] & 4:
             extra = first[12 : 12 + struct.unpack_from("<H", first, 10)[0]]
@@ -150,19 +210,27 @@ class Archive:
 
         while b"\r\n\r\n" not in plain and not box.eof and more():
             pass
-        stop = plain.find(b"\r\n\r\n")
-        headers = parsed(plain[:stop])
+        headers, stop, size = self._headers(plain)
         need = wanted(headers)
         block = None
         if need or length is None:
+            held, plain = [plain], b""
             while not box.eof and more():
-                if not need:
-                    plain = b""  # only the member's end is looked for
+                if need:
+                    held.append(plain)
+                plain = b""
+            if not box.eof:
+                raise Damaged("cut short")
+            if length not in (None, taken - len(box.unused_data)):
+                raise Damaged("another size than its header says")
             length = taken - len(box.unused_data)
             if need:
-                size = int(headers.get("content-length", 0))
-                block = plain[stop + 4 : stop + 4 + size]
+                block = b"".join(held)[stop : stop + size]
                 self.decoded += size
+                if len(block) < size:
+                    raise Damaged("cut short")
+        elif at + length > self.size or length < 18:
+            raise Damaged("cut short")
         return at + length, headers if need is not None else None, block
 
 
@@ -183,8 +251,8 @@ class _Written(WriterCommitMessage):
 
 
 class WarcReader(DataSourceReader):
-    def __init__(self, path: str, payload: bool):
-        self.path, self.payload, self.equal = path, payload, {}
+    def __init__(self, path: str, payload: bool, mark: bool):
+        self.path, self.payload, self.mark, self.equal = path, payload, mark, {}
 
     def pushFilters(self, filters):
         for f in filters:
@@ -218,22 +286,34 @@ class WarcReader(DataSourceReader):
             values["payload_digest"] = values["payload_digest"] and values["payload_digest"].removeprefix("sha256:")
             return values
 
+        def fits(values: dict) -> bool:
+            return all(values[c] in allowed for c, allowed in self.equal.items())
+
+        # Which payloads differ from their digests shows only once they are decoded.
+        decode_all = self.mark and self.payload and "damaged" in self.equal.get("record_type", ())
+
         def wanted(headers: dict[str, str]) -> bool | None:
-            values = row(headers)
-            if any(values[c] not in allowed for c, allowed in self.equal.items()):
-                return None
-            return self.payload
+            return self.payload if decode_all or fits(row(headers)) else None
 
         rows, held = [], 0
         with store.open_input_file(partition.path) as file:
-            for headers, block in Archive(file).records(wanted):
+            for headers, block in Archive(file, self.mark).records(wanted):
                 values = row(headers)
                 if block is not None:
                     head, _, body = block.partition(b"\r\n\r\n") if "application/http" in headers.get("content-type", "") else (b"", b"", block)
-                    length = parsed(head).get("content-length")
+                    http = parsed(head)
+                    length = http.get("content-length")
                     values["http_length"] = int(length) if length else len(body)
                     values["payload"] = None if values["record_type"] == "revisit" else body
+                    if damaged_payload(headers, http, body):
+                        if not self.mark:
+                            raise Damaged(f"payload of {values['record_id']} in {partition.path} differs from its digest")
+                        values |= {"record_type": "damaged", "payload": None, "http_length": len(body)}
                     held += len(body)
+                elif values["record_type"] == "damaged":
+                    values["http_length"] = int(headers["content-length"])
+                if not fits(values):
+                    continue
                 rows.append(values)
                 if held > BATCH_BYTES or len(rows) >= 10_000:
                     yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
@@ -276,7 +356,7 @@ class WarcWriter(DataSourceArrowWriter):
 
 
 class WarcSource(DataSource):
-    """Options: ``path``; ``payload`` (default true): whether blocks are decoded."""
+    """Options: ``path``; ``payload`` (default true): whether blocks are decoded; ``damaged``: ``fail`` (default) or ``mark``."""
 
     @classmethod
     def name(cls):
@@ -286,7 +366,10 @@ class WarcSource(DataSource):
         return SCHEMA
 
     def reader(self, schema):
-        return WarcReader(self.options["path"], self.options.get("payload", "true").lower() == "true")
+        damaged = self.options.get("damaged", "fail").lower()
+        if damaged not in ("fail", "mark"):
+            raise ValueError("damaged: fail or mark")
+        return WarcReader(self.options["path"], self.options.get("payload", "true").lower() == "true", damaged == "mark")
 
     def writer(self, schema, overwrite):
         store, root = fs.FileSystem.from_uri(self.options["path"])
@@ -301,9 +384,9 @@ def register(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
 
 
-def read_archive(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
+def read_archive(spark: SparkSession, path: str, payload: bool = True, damaged: str = "fail") -> DataFrame:
     register(spark)
-    return spark.read.format("warc").option("payload", str(payload).lower()).load(path)
+    return spark.read.format("warc").option("payload", str(payload).lower()).option("damaged", damaged).load(path)
 
 
 def _uri(number) -> F.Column:

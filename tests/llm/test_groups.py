@@ -310,6 +310,56 @@ def test_foreign_gzip_members_are_read(tmp_path):
         assert [h["warc-type"] for h, _ in warc.Archive(file).records(lambda h: False)] == ["warcinfo"] + ["response"] * 3
 
 
+def damaged_archives():
+    """Name, bytes, ids read whole, bytes passed over (None: the digest differs), for both kinds of archive."""
+    import hashlib
+
+    def make(k, digest=None):
+        body = np.random.default_rng(k).integers(97, 122, 3000, dtype=np.uint8).tobytes()
+        return warc.record({"record_id": f"urn:page:{k}", "record_type": "response", "target_uri": "u", "refers_to": None, "payload_digest": digest or hashlib.sha256(body).hexdigest(), "http_length": 3000, "payload": body})
+
+    for end, pack in ((".warc.gz", warc.member), (".warc", lambda b: b)):
+        parts = [pack(make(k)) for k in range(4)]
+        stray = b"\0oops"
+        yield "stray" + end, parts[0] + stray + b"".join(parts[1:]), [0, 1, 2, 3], len(stray) + (4 if end == ".warc" else 0)
+        yield "cut" + end, b"".join(parts)[:-50], [0, 1, 2], len(parts[3]) - 50 + (4 if end == ".warc" else 0)
+        yield "digest" + end, parts[0] + pack(make(1, "0" * 64)) + parts[2] + parts[3], [0, 2, 3], None
+    flipped = bytearray(parts[1])
+    flipped[-1000] ^= 1
+    yield "flipped.warc", parts[0] + bytes(flipped) + parts[2], [0, 2], None
+    zipped = [warc.member(make(k)) for k in range(3)]
+    flipped = bytearray(zipped[1])
+    flipped[200] ^= 255
+    yield "flipped.warc.gz", zipped[0] + bytes(flipped) + zipped[2], [0, 2], len(flipped)
+
+
+def test_damage_is_an_error_or_marked(spark, tmp_path):
+    for name, data, whole, passed in damaged_archives():
+        folder = tmp_path / name
+        folder.mkdir()
+        (folder / name).write_bytes(data)
+        with pytest.raises(Exception, match="damaged record at byte|differs from its digest"):
+            warc.read_archive(spark, str(folder)).collect()
+        marked = warc.read_archive(spark, str(folder), damaged="mark")
+        rows = marked.collect()
+        assert sorted(r.record_id for r in rows if r.record_type == "response") == [f"urn:page:{k}" for k in whole], name
+        (bad,) = [r for r in rows if r.record_type == "damaged"]
+        assert (bad.record_id, bad.payload, bad.http_length) == (("urn:page:1", None, 3000) if passed is None else (None, None, passed)), name
+        assert marked.filter("record_type = 'damaged'").collect() == [bad], name
+        assert marked.filter("record_type = 'response'").count() == len(whole), name
+
+
+def test_an_archive_of_blanks_and_one_cut_in_its_header(tmp_path):
+    for data, marks in ((b"\r\n\r\n", 0), (b"WARC/1.1\r\nWARC-Type: resp", 1), (b"", 0), (b"\x1f\x8b\x08", 1)):
+        (tmp_path / "x").write_bytes(data)
+        with fs.LocalFileSystem().open_input_file(str(tmp_path / "x")) as file:
+            assert [h["warc-type"] for h, _ in warc.Archive(file, mark=True).records(lambda h: True)] == ["damaged"] * marks
+        with fs.LocalFileSystem().open_input_file(str(tmp_path / "x")) as file:
+            if marks:
+                with pytest.raises(warc.Damaged):
+                    list(warc.Archive(file).records(lambda h: True))
+
+
 # -- token files
 
 
