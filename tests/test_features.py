@@ -91,3 +91,28 @@ def test_note_vectors(spark, notes, hot_rows):
         assert np.allclose(got[s, h], expected)
     means = {r["subject_id"]: r["vector"] for r in pooling.mean_vectors(rows).collect()}
     assert np.allclose(means[1], np.mean([got[1, 1], got[1, 2]], 0)) and np.allclose(means[4], got[4, 9])
+
+
+def test_note_vectors_send_a_word_once_a_block(spark):
+    """Blocks of a few words, keys that repeat or are null, a word with two vectors; no partial sums of vectors are shuffled."""
+    rows = [(i % 40, "a b a" if i % 3 else f"b w{i % 7} {'z' * (i % 2)}") for i in range(80)] + [(None, "a"), (99, None)]
+    notes = spark.createDataFrame(rows, "note int, text string")
+    table = [("a", [1.0, -2.0]), ("a", [3.0, 0.5]), ("b", [-1.0, 4.0])] + [(f"w{i}", [float(i), -float(i)]) for i in range(6)]
+    words = spark.createDataFrame(table, "word string, vector array<double>")
+    vectors = pooling.note_vectors(notes, ["note"], F.split("text", " "), words, 2, block_values=40)
+    assert "aggregate_metrics" not in plan_of(vectors) and "summary" not in plan_of(vectors).lower()
+    got = vectors.collect()
+    assert sorted((r["note"] is None, r["note"]) for r in got if r["note"] is not None) == sorted((False, n) for n, _ in rows if n is not None)
+    for r in got:
+        known = np.array([v for n, t in rows if n == r["note"] and t for w in t.split(" ") for x, v in table if x == w])
+        expected = np.concatenate([known.mean(0), known.max(0), known.min(0)]) if r["note"] is not None and len(known) else np.zeros(6)
+        assert np.allclose(r["vector"], expected)
+
+
+def test_fits_get_partitions_that_outweigh_their_gradients(spark):
+    from chartloom.operators import models
+
+    rows = spark.range(64).repartition(8).select("id", F.array(F.col("id")).alias("i"), F.array(F.lit(1.0)).alias("w"))
+    stored = with_vectors(rows, 1 << 20, F.col("i"), F.col("w")).select("id", "features")
+    assert stored.rdd.getNumPartitions() > 1 and models.compact(stored, least=8).rdd.getNumPartitions() == 1
+    assert models.compact(stored.drop("features"), least=8).count() == models.compact(stored, least=8).count() == 64
