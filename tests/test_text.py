@@ -102,3 +102,11 @@ def test_term_positions_match_plain_lists(spark):
         assert {r["term"]: r["places"] for r in runs} == {w: [k for k, v in enumerate(words) if v == w] for w in words}
     empty = spark.createDataFrame([([],), (None,)], "a array<string>")
     assert [r[0] for r in empty.select(tx.term_positions(F.col("a"))).collect()] == [None, None]
+
+
+def test_letters_are_lower_cased_before_one_range_is_kept(spark):
+    """One range of letters is all that lower-cased text needs; two take several times as long."""
+    rows = ["ABCİd Kelvin Été. A-Zß\n\t..", "\U0001f600x", " ", "", None]
+    got = [r["n"] for r in spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, t string").orderBy("i").select(tx.normalize(F.col("t")).alias("n")).collect()]
+    assert got == [re.sub("[^a-zA-Z.]+", " ", (r or "").lower()) for r in rows]
+    assert "A-Z" not in tx.NON_LETTERS
