@@ -179,6 +179,15 @@ def note_units(notes: DataFrame, note_key: Sequence[str], text: str, granularity
     return parts.select(*note_key, "unit", remove_stop_words(word_tokens(drop_periods(F.col("sentence")))).alias("words"))
 
 
+def distinct_words(notes: DataFrame, text: str = "text") -> DataFrame:
+    """``(word)``: each word of granularity W once, dealt evenly.
+
+    Such a word is its own only unit, so that for pairs of words and terms ``match_spans`` may take these rows as notes: the work follows the vocabulary, not the text.
+    """
+    words = note_units(notes, [], text, "W").select(F.explode("words").alias("word")).distinct()
+    return words.repartition(int(notes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def blocks(units: DataFrame, note_key: Sequence[str], max_words: int = MAX_WORDS) -> DataFrame:
     """``(*note_key, unit, first, block)``: overlapping runs of words, small whatever the note's size."""
 

@@ -232,3 +232,19 @@ def test_size_classes_miss_no_size(spark, kind, threshold):
             shared = int(least_shared(kind, threshold, r.a, b))
             assert shared > min(r.a, b) or FORMULA[kind](shared, r.a, b) >= threshold - 1e-9
             assert shared == 1 or FORMULA[kind](shared - 1, r.a, b) < threshold
+
+
+def test_distinct_words_give_the_pairs_of_all_words(spark):
+    """Each word once, with split words, stop words, periods and null texts; its matches are those of every place where it stands."""
+    texts = ["Cannot tell. The fever, fever and chills.", "gonna lemme see FEVERS a.b chill's", None, "", "the of"]
+    notes = spark.createDataFrame(list(enumerate(texts)), "note int, text string")
+    terms = spark.createDataFrame([(w, f"C{i}", ["T0"]) for i, w in enumerate(["fever", "chills", "telling", "lemon"])], "term string, cui string, semtypes array<string>")
+    words = annotate.distinct_words(notes)
+    listed = [r["word"] for r in words.collect()]
+    assert len(listed) == len(set(listed)) and {"fever", "fevers", "chills", "tell"} <= set(listed) and "the" not in listed
+    options = {"granularity": "W", "kind": "overlap", "threshold": 1e-6}
+    once, every = (
+        {(r["span"], r["term"]) for r in annotate.match_spans(df, key, terms, text, **options).collect()}
+        for df, key, text in ((words, ["word"], "word"), (notes, ["note"], "text"))
+    )
+    assert once == every and len(once) > 4
