@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from chartloom.operators import metrics, splits, windows
 from chartloom.operators.vocabulary import vocabulary
 from chartloom.plans.bow import with_patient
+from chartloom.session import cut_lineage
 
 
 def prepare(
@@ -32,7 +33,7 @@ def prepare(
     rows = windows.sequence_windows(
         named, note_key, vocabulary(totals, min_count), text, seq_len, keep=["readm", "split"], totals=totals
     )
-    return splits.with_class_weight(rows)
+    return splits.with_class_weight(cut_lineage(rows))  # read twice: counted by class, and joined with the weights
 
 
 def evaluate(logits: DataFrame, scale: float = 2.0) -> DataFrame:
