@@ -109,6 +109,14 @@ def test_note_vectors_send_a_word_once_a_block(spark):
         assert np.allclose(r["vector"], expected)
 
 
+@pytest.mark.parametrize("bad", [None, [1.0], [1.0, None]])
+def test_note_vectors_refuse_broken_word_vectors(spark, bad):
+    notes = spark.createDataFrame([(1, "a b")], "note int, text string")
+    words = spark.createDataFrame([("a", [1.0, 2.0]), ("b", bad)], "word string, vector array<double>")
+    with pytest.raises(Exception, match="a word vector is null"):
+        pooling.note_vectors(notes, ["note"], F.split("text", " "), words, 2).collect()
+
+
 def test_fits_get_partitions_that_outweigh_their_gradients(spark):
     from chartloom.operators import models
 
