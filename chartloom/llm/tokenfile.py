@@ -3,11 +3,11 @@
 Documents are range-partitioned and sorted by ``doc_id``; each task writes one file, whose rows in the written
 table of files (path, first id, counts) say which attempts count: files of failed attempts are never read.
 
-A file is ``TOKMIX2\\n``, then blocks, then the document index, then its place. A block: id count, byte count and crc32 of the
+A file is ``TOKMIX3\\n``, then blocks, then the document index, then its place. A block: id count, byte count and crc32 of the
 coded bytes (unsigned 32-bit little-endian), coded bytes. Blocks hold 4,096 ids, are reset and checked on their own, and run across
 documents. The index: compressed ``doc_id``, null mark and id count of each document, with a crc32.
 
-Encoding asks the library once for each distinct piece that its own splitting pattern makes; pieces do not influence each other.
+Encoding asks the library once for each distinct run of pieces that its own splitting pattern makes from blank to blank; pieces do not influence each other.
 
 Cases: null or empty text gives the end id only. Null ``doc_id`` sorts first. Equal ``doc_id``s stand next to each other in any order. An
 empty table writes no file. A damaged block raises ValueError. Whole texts are encoded. Other columns are ignored.
@@ -21,29 +21,33 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, compress, repeat
 from uuid import uuid4
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from chartloom.llm.common import map_batches, only, pieces, table
 from chartloom.llm.mixcoder import BLOCK_IDS, decode_blocks, encode_blocks
+from chartloom.llm.wordbpe import _byte_letters
 from chartloom.session import cut_lineage, shared_dir
 
 BYTE_BPE = "byte_bpe_50k.json"
 END_ID = 2
-LANES = 1024  # blocks coded together
+LANES = 2048  # blocks coded together
 MOST_KNOWN = 300_000
-MAGIC = b"TOKMIX2\n"
+MOST_WORD = 64  # bytes of a word that is remembered whole
+TEXT_BYTES = 2 << 20  # encoded together
+MAGIC = b"TOKMIX3\n"
 
 
 class PieceTokenizer:
-    """The library's tokenizer with a memory of distinct pieces."""
+    """The library's tokenizer with a memory of distinct pieces and of words of several pieces."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -63,11 +67,23 @@ class PieceTokenizer:
         import re
 
         self.latin = re.compile(latin)
-        self._forget()
-
-    def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.flat, self.starts = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self.blank = regex.compile(r"\s")
+        # The model spells every byte as a letter.
+        self.model, self.letters = self.library.model, dict(enumerate(_byte_letters()))
+        self.known: dict[str, int] = {}  # entries by key, in order
+        self.flat, self.starts, self.uses = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(0, np.int64)
+
+    def _forget(self, keep: np.ndarray) -> None:
+        """Remember only these entries, by place."""
+        self.known = {k: place for place, k in enumerate(compress(self.known, keep.tolist()))}
+        sizes = np.diff(self.starts)
+        self.flat, self.starts = self.flat[np.repeat(keep, sizes)], np.concatenate([[0], np.cumsum(sizes[keep])])
+        self.uses = self.uses[keep] >> 1
+
+    def _remember(self, keys: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.known.update(zip(keys, range(len(self.known), len(self.known) + len(keys))))
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes, dtype=np.int64)])
+        self.flat, self.uses = np.concatenate([self.flat, ids]), np.concatenate([self.uses, np.zeros(len(keys), np.int64)])
 
     def _pieces(self, text: str) -> list[str]:
         if any(s in text for s in self.special):
@@ -75,31 +91,96 @@ class PieceTokenizer:
         return self._plain(text)
 
     def _plain(self, text: str) -> list[str]:
+        if text.isascii():
+            return [text] if text.lstrip(" ").isalpha() and text[1:2] != " " else self.latin.findall(text)
         try:
             text.encode("latin-1")
             return self.latin.findall(text)
         except UnicodeEncodeError:
             return self.split.findall(text)
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts in a row, and the offsets of each text."""
-        lists = [self._pieces(t) for t in texts]
-        wanted = set().union(*lists)
-        fresh = [w for w in wanted if w not in self.known]
-        if len(self.known) + len(fresh) > MOST_KNOWN:
-            self._forget()
-            fresh = list(wanted)
-        if fresh:
-            got = [e.ids for e in self.library.encode_batch_fast(fresh, add_special_tokens=False)]
-            first = len(self.known)
-            self.known.update(zip(fresh, range(first, first + len(fresh))))
-            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum([len(g) for g in got])])
-            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(got), np.uint32)])
-        counts = np.array([len(w) for w in lists], dtype=np.int64)
-        at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(lists)), np.int64, counts.sum())
+    def _library(self, piece: str) -> list[int]:
+        if piece in self.special:
+            return [self.special[piece]]
+        plain = piece.isascii() and piece[1:].isalpha() and (piece[0] == " " or piece[0].isalpha())
+        spelled = piece.replace(" ", self.letters[32]) if plain else piece.encode().decode("latin-1").translate(self.letters)
+        return [t.id for t in self.model.tokenize(spelled)]
+
+    def _gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of entries in a row, and the offsets of each entry."""
         sizes = self.starts[at + 1] - self.starts[at]
         before = np.concatenate([[0], np.cumsum(sizes)])
-        ids = self.flat[np.repeat(self.starts[at] - before[:-1], sizes) + np.arange(before[-1])]
+        return self.flat[np.repeat(self.starts[at] - before[:-1], sizes) + np.arange(before[-1])], before
+
+    def _learn(self, keys: list[str]) -> np.ndarray:
+        """The entry of each key, a piece or a word without special tokens; the library encodes the pieces not known yet."""
+        at = np.fromiter(map(self.known.get, keys, repeat(-1)), np.int64, len(keys))
+        if not (at < 0).any():
+            return at
+        if len(self.known) + (at < 0).sum() > MOST_KNOWN:
+            least = 2  # rare ones go, until half the room is free
+            while (keep := self.uses >= least).sum() > MOST_KNOWN // 2:
+                least *= 2
+            self._forget(keep)
+            at = np.fromiter(map(self.known.get, keys, repeat(-1)), np.int64, len(keys))
+        missing = np.flatnonzero(at < 0)
+        fresh = list(dict.fromkeys([keys[k] for k in missing.tolist()]))
+        lists = [[k] if k in self.special else self._plain(k) for k in fresh]
+        new = [p for p in dict.fromkeys(chain.from_iterable(lists)) if p not in self.known]
+        got = [self._library(p) for p in new]
+        self._remember(new, np.array([*chain.from_iterable(got)], np.uint32), np.array([*map(len, got)], dtype=np.int64))
+        find = self.known.__getitem__
+        joined = [(k, x) for k, x in zip(fresh, lists) if len(x) != 1]
+        ids, before = self._gather(np.array([find(p) for _, x in joined for p in x], dtype=np.int64))
+        ends = before[np.cumsum([0, *(len(x) for _, x in joined)])]
+        self._remember([k for k, _ in joined], ids, np.diff(ends))
+        at[missing] = [find(keys[k]) for k in missing.tolist()]
+        return at
+
+    def encode(self, texts: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and the offsets of each text.
+
+        A blank before anything but white space begins a piece, so texts are cut there and each distinct cut is encoded once. Texts where a blank
+        precedes white space, with special tokens or very long words are cut into the pattern's own pieces.
+        """
+        column = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        lists = pc.split_pattern(column, " ")
+        counts = np.diff(np.asarray(lists.offsets)).astype(np.int64)
+        coded = pc.dictionary_encode(lists.flatten())
+        word, words = np.asarray(coded.indices), coded.dictionary
+        ends = np.cumsum(counts)
+        firsts = ends - counts
+        unfit = np.asarray(pc.greater(pc.binary_length(words), MOST_WORD))
+        special = np.zeros(len(column), bool)
+        for token in self.special:
+            if " " in token:
+                special |= np.asarray(pc.match_substring(column, token))
+            else:
+                unfit = unfit | np.asarray(pc.match_substring(words, token))
+        begins = pc.dictionary_encode(pc.utf8_slice_codeunits(words, 0, 1))
+        blank = np.array([not c or c.isspace() or self.blank.match(c) is not None for c in begins.dictionary.to_pylist()], bool)
+        # A text's first word has no blank before it.
+        inner = blank[np.asarray(begins.indices)][word]
+        inner[firsts] = False
+        slow = special | np.logical_or.reduceat(inner | unfit[word], firsts) if len(word) else special
+        heads = words.take(pa.array(word[firsts])).to_pylist()
+        lists = [self._pieces(column[k].as_py()) for k in np.flatnonzero(slow).tolist()]
+        keys = pc.binary_join_element_wise("", words, " ").to_numpy(zero_copy_only=False).tolist()
+        for k in np.flatnonzero(unfit).tolist():
+            keys[k] = ""
+        at = self._learn([*keys, *("" if s else h for h, s in zip(heads, slow.tolist())), *chain.from_iterable(lists)])
+        pieces_at = at[len(keys) + len(heads) :]
+        head = at[len(keys) : len(keys) + len(heads)]
+        at = at[word]
+        at[firsts] = head
+        if len(lists):
+            mine = np.array([len(x) for x in lists], dtype=np.int64)
+            places = np.split(pieces_at, np.cumsum(mine)[:-1])
+            rows = iter(places)
+            at = np.concatenate([next(rows) if s else at[a:b] for s, a, b in zip(slow.tolist(), firsts.tolist(), ends.tolist())])
+            counts[slow] = mine
+        self.uses += np.bincount(at, minlength=len(self.uses))
+        ids, before = self._gather(at)
         return ids, before[np.concatenate([[0], np.cumsum(counts)])]
 
 
@@ -127,6 +208,7 @@ class TokenFileWriter:
     def _flush(self, last: bool) -> None:
         ids = np.concatenate([np.zeros(0, np.uint32), *self.parts])
         stop = len(ids) if last else len(ids) // BLOCK_IDS * BLOCK_IDS
+        self.parts = []
         for low in range(0, stop, LANES * BLOCK_IDS):
             blocks = [ids[k : min(k + BLOCK_IDS, stop)] for k in range(low, min(low + LANES * BLOCK_IDS, stop), BLOCK_IDS)]
             for block, coded in zip(blocks, encode_blocks(blocks)):
@@ -185,12 +267,12 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer, path, total = None, f"{folder}/{uuid4().hex}.tokens", 0
         for batch in batches:
-            for piece in pieces(batch, "text"):
+            for piece in pieces(batch, "text", TEXT_BYTES):
                 if writer is None:
                     store, root = fs.FileSystem.from_uri(folder)
                     store.create_dir(root, recursive=True)
                     writer = TokenFileWriter(store.open_output_stream(f"{root}/{path.rsplit('/', 1)[1]}", compression=None))
-                ids, offsets = tokenizer(tokenizer_path).encode([t or "" for t in piece.column("text").to_pylist()])
+                ids, offsets = tokenizer(tokenizer_path).encode(piece.column("text"))
                 ids = np.insert(ids, offsets[1:], end_id)
                 offsets = offsets + np.arange(len(offsets))
                 writer.add(piece.column("doc_id").to_pylist(), ids, offsets)

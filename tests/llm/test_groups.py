@@ -430,6 +430,44 @@ def test_token_files_equal_the_library(spark):
     assert tokenfile.read_token_files(none).count() == 0
 
 
+def test_order_0_is_not_summed_at_every_step(monkeypatch):
+    """Repeats are added up at steps that grow apart, whatever the number of blocks and ids."""
+    sums, add_up = [], mixcoder._Counts.add_up
+    monkeypatch.setattr(mixcoder._Counts, "add_up", lambda self, t, numbers: (sums.append(t), add_up(self, t, numbers))[1])
+    blocks = [np.random.default_rng(k).integers(0, 400, 4096 - 1000 * k).astype(np.uint32) for k in range(3)]
+    coded = mixcoder.encode_blocks(blocks)
+    steps, sums[:] = list(sums), []
+    assert all((a == b).all() for a, b in zip(blocks, mixcoder.decode_blocks(coded, [len(b) for b in blocks])))
+    assert sums == steps and len(steps) < 60
+    with pytest.raises(ValueError, match="at most"):
+        mixcoder.encode_blocks([np.zeros(mixcoder.MOST_IDS + 1, np.uint32)])
+
+
+def test_words_are_remembered_between_blanks(monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(tokenfile.BYTE_BPE)
+    library, fast = Tokenizer.from_file(path), tokenfile.PieceTokenizer(path)
+    asked, ask = [], fast._library
+    monkeypatch.setattr(fast, "_library", lambda piece: (asked.append(piece), ask(piece))[1])
+    monkeypatch.setattr(tokenfile, "MOST_KNOWN", 60)
+    rng = random.Random(7)
+    some = ["a", "B", "'s", "'ll", " ", "  ", "\n", "\t", "é", "中", "1", ".", "!?", "<|endoftext|>", "\xa0", "\x1c", "\u2028", "ß", "x" * 70, "\r\n", "😀"]
+    for _ in range(60):
+        texts = ["".join(rng.choice(some) if rng.random() < 0.7 else " " for _ in range(rng.randint(0, 30))) for _ in range(12)]
+        ids, offsets = fast.encode(texts)
+        for k, text in enumerate(texts):
+            assert ids[offsets[k] : offsets[k + 1]].tolist() == library.encode(text, add_special_tokens=False).ids
+        assert len(fast.known) < 2000  # rare words are forgotten
+    texts = ["one, two\nthree, four one, two\nthree"] * 3
+    fast.encode(texts)
+    asked.clear()
+    monkeypatch.setattr(fast, "_plain", lambda text: 1 / 0)  # nothing is cut again
+    ids, offsets = fast.encode(texts)
+    assert not asked and ids[: offsets[1]].tolist() == library.encode(texts[0], add_special_tokens=False).ids
+
+
 def test_damaged_blocks_are_noticed(tmp_path):
     with fs.LocalFileSystem().open_output_stream(str(tmp_path / "x")) as out:
         writer = tokenfile.TokenFileWriter(out)
