@@ -121,8 +121,9 @@ class PieceTokenizer:
             least = 2  # rare ones go, until half the room is free
             while (keep := self.uses >= least).sum() > MOST_KNOWN // 2:
                 least *= 2
+            keep[at[at >= 0]] = True
             self._forget(keep)
-            at = np.fromiter(map(self.known.get, keys, repeat(-1)), np.int64, len(keys))
+            at = np.where(at < 0, at, (np.cumsum(keep) - 1)[at])
         missing = np.flatnonzero(at < 0)
         fresh = list(dict.fromkeys([keys[k] for k in missing.tolist()]))
         lists = [[k] if k in self.special else self._plain(k) for k in fresh]
@@ -143,7 +144,7 @@ class PieceTokenizer:
         A blank before anything but white space begins a piece, so texts are cut there and each distinct cut is encoded once. Texts where a blank
         precedes white space, with special tokens or very long words are cut into the pattern's own pieces.
         """
-        column = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        column = pc.fill_null(texts.cast(pa.string()) if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
         lists = pc.split_pattern(column, " ")
         counts = np.diff(np.asarray(lists.offsets)).astype(np.int64)
         coded = pc.dictionary_encode(lists.flatten())
