@@ -123,7 +123,7 @@ class PieceTokenizer:
                 least *= 2
             keep[at[at >= 0]] = True
             self._forget(keep)
-            at = np.where(at < 0, at, (np.cumsum(keep) - 1)[at])
+            at[at >= 0] = (np.cumsum(keep) - 1)[at[at >= 0]]
         missing = np.flatnonzero(at < 0)
         fresh = list(dict.fromkeys([keys[k] for k in missing.tolist()]))
         lists = [[k] if k in self.special else self._plain(k) for k in fresh]
